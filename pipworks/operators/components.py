@@ -1,6 +1,6 @@
 """Connected components of links between rows, by minimum-label propagation with pointer jumping.
 
-Each round is two joins and an aggregation with map-side combine; labels are written to the shared folder between
+Each round is three joins and an aggregation with map-side combine; labels are written to the shared folder between
 rounds, so the plan stays short and the loss of an executor costs one round. The number of rounds grows with the
 logarithm of the longest chain. Links, labels and components stay distributed; the driver sees one count per round.
 """
@@ -21,11 +21,13 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     scratch = Scratch(spark, "components")
     pair = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = scratch.save(pair.union(pair.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = scratch.save(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "round0")
+    labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root"))
     for k in range(1, max_rounds + 1):
         near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        far = labels.select(F.col("u").alias("root"), F.col("root").alias("far"))
-        step = labels.join(near, "u").join(far, "root", "left").select("u", F.least("root", "near", "far").alias("new"), "root")
+        step = labels.join(near, "u").select("u", F.least("root", "near").alias("new"), "root")
+        for _ in range(2):  # jump along the pointers of the round before
+            far = labels.select(F.col("u").alias("new"), F.col("root").alias("far"))
+            step = step.join(far, "new", "left").select("u", F.least("new", "far").alias("new"), "root")
         step = scratch.save(step, f"round{k}")
         changed = not step.filter("new < root").isEmpty()
         if k > 1:
