@@ -6,8 +6,8 @@ form the table of originals. Every original is garbled along every chain of `CHA
 hash-joined against that table. A hit is verified: the original must look no worse than the word, and for chains that
 map one byte to one character, or lose characters, it must occur in the corpus more often than the garbled form.
 
-Words of all rows are counted; nothing is sampled, and only tables of distinct words are joined. A word with U+FFFD was
-decoded wrongly in any case and is reported even where no original is found.
+Words of all rows are counted; nothing is sampled, and only tables of distinct words are joined. A word with U+FFFD,
+or with signs, controls or capitals where ordinary writing has none, is reported even where no original is found.
 
 Defined cases: null, empty and pure ASCII values without `?` inside a word are not concerned; a value is reported once
 however many of its words are garbled; restored is null where some word has no verified original; ties between originals
@@ -76,7 +76,10 @@ def _decode(data: bytes, codec: str) -> str:
 
 
 def garblings(word: str) -> list[tuple[str, str, int]]:
-    """(garbled form, chain, rank) of a word; rank 0: UTF-8 read as another encoding, 1: one byte for another, 2: characters lost."""
+    """(garbled form, as written, rank) of a word; rank 0: UTF-8 read as another encoding, 1: one byte for another, 2: characters lost.
+
+    The form is what the split into words yields; as written it is longer where a no-break space became a plain one.
+    """
     utf8 = word.encode("utf-8", "surrogatepass")
     out: dict[str, tuple[str, int]] = {}
     for codec in READ_AS:
@@ -98,13 +101,13 @@ def garblings(word: str) -> list[tuple[str, str, int]]:
     asked = re.sub(_NOT_ASCII, "?", word)
     if len(re.findall("[A-Za-z]", asked)) >= 3:
         out.setdefault(asked, ("asked", 2))
-    for form in list(out):  # a no-break space is often made a plain one, which ends the word
-        if " " in form:
-            head = form.split(" ", 1)[0]
-            if len(head) >= 3 and re.search(_NOT_ASCII, head):
-                out.setdefault(head, (out[form][0] + " cut", out[form][1]))
     out.pop(word, None)
-    return [(form, chain, rank) for form, (chain, rank) in out.items()]
+    forms = [(form, form, rank) for form, (_, rank) in out.items() if rank < 2 or 2 * len(re.sub("[?\ufffd]", "", form)) > len(form)]
+    for form, _, rank in list(forms):  # a no-break space is often made a plain one, which ends the word
+        head = form.split("\u00a0", 1)[0]
+        if head != form and len(head) >= 3 and re.search(_NOT_ASCII, head) and head not in out:
+            forms.append((head, form.replace("\u00a0", " "), rank))
+    return forms
 
 
 def oddness(word: str) -> int:
@@ -192,7 +195,7 @@ def _words(value: Column) -> Column:
 
 
 def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
-    """(word, original) of the garbled ones among distinct `words` (word, n): original is null where none could be verified."""
+    """(word, written, original) of the garbled ones among distinct `words` (word, n): original is null where none could be verified."""
     scratch = Scratch(spark, "mojibake")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,10 +207,10 @@ def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
 
     def garble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(form, o, seen, rank, oddness(o)) for o, seen in zip(batch["original"], batch["seen"], strict=True) for form, _, rank in garblings(o)]
-            yield pd.DataFrame(rows, columns=["word", "original", "seen", "rank", "odd"])
+            rows = [(form, written, o, seen, rank, oddness(o)) for o, seen in zip(batch["original"], batch["seen"], strict=True) for form, written, rank in garblings(o)]
+            yield pd.DataFrame(rows, columns=["word", "written", "original", "seen", "rank", "odd"])
 
-    table = originals.mapInPandas(garble, "word string, original string, seen long, rank int, odd int")
+    table = originals.mapInPandas(garble, "word string, written string, original string, seen long, rank int, odd int")
     hits = scratch.save(words.join(table, "word"), "hits")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,13 +219,19 @@ def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
             bytes_gone = (b["rank"] == 0) & (b["odd"] <= shape)
             swapped = (b["rank"] == 1) & ((b["odd"] < shape) & (b["seen"] >= b["n"]) | (b["odd"] == shape) & (b["seen"] >= 5 * b["n"]))
             lost = (b["rank"] == 2) & (b["seen"] > 0)
-            yield b.loc[bytes_gone | swapped | lost, ["word", "original", "seen"]]
+            yield b.loc[bytes_gone | swapped | lost, ["word", "written", "original", "seen"]]
+
+    good = hits.mapInPandas(verify, "word string, written string, original string, seen long")
+    # the most frequent original; of equals the smallest by code point
+    best = F.min_by(F.struct("written", "original"), F.struct(-F.col("seen"), "original", "written"))
+    chosen = good.groupBy("word").agg(best.alias("b")).select("word", "b.written", "b.original")
+
+    def misshapen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[FFFD in w or oddness(w) >= 2 for w in b["word"]], ["word"]]
 
-    good = hits.mapInPandas(verify, "word string, original string, seen long")
-    best = good.groupBy("word").agg(F.max(F.struct("seen", F.col("original"))).alias("m"), F.max("seen").alias("s"))
-    chosen = good.join(best.select("word", "s"), "word").filter("seen = s").groupBy("word").agg(F.min("original").alias("original"))
-    broken = words.filter(F.col("word").contains(FFFD)).select("word")
-    return chosen.join(broken, "word", "full_outer").select("word", "original")
+    broken = words.select("word").mapInPandas(misshapen, "word string")
+    return chosen.join(broken, "word", "full_outer").select("word", "written", "original")
 
 
 def find(spark: SparkSession, records: DataFrame) -> DataFrame:
@@ -232,18 +241,18 @@ def find(spark: SparkSession, records: DataFrame) -> DataFrame:
     tokens = distinct.select("value", "times", F.explode(_words(F.col("value"))).alias("word"))
     words = tokens.groupBy("word").agg(F.sum("times").alias("n"))
     bad = Scratch(spark, "mojibake").save(garbled_words(spark, words), "words")
-    pairs = tokens.join(bad, "word").groupBy("value").agg(F.collect_list(F.struct("word", "original")).alias("pairs"))
+    pairs = tokens.join(bad, "word").groupBy("value").agg(F.collect_list(F.struct("word", "written", "original")).alias("pairs"))
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             restored = []
             for value, pairs in zip(batch["value"], batch["pairs"], strict=True):
-                known = {p["word"]: p["original"] for p in pairs}
-                if any(o is None for o in known.values()):
+                if any(p["original"] is None for p in pairs):
                     restored.append(None)
                     continue
-                for word in sorted(known, key=len, reverse=True):
-                    value = value.replace(word, known[word])
+                for p in sorted(pairs, key=lambda p: -len(p["written"])):
+                    value = value.replace(p["written"] if p["written"] in value else p["word"], p["original"])
+                value = re.sub("Ã\u00a0|Ã (?= )", "à", value)  # à alone, whose second byte became a blank
                 restored.append(value)
             yield pd.DataFrame({"value": batch["value"], "restored": restored})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.llm import near_duplicates
+from pipworks.llm import incremental, mojibake, near_duplicates
 from pipworks.operators.components import group_pairs
 from pipworks.sources.tables import table
 
@@ -18,6 +18,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds[0].unionByName(kinds[1])
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of match_records that were decoded wrongly."""
+    return mojibake.find(spark, table(spark, folder, "match_records")).select("row_id", "field", "pos")
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same values with the text as it was, null where it can't be had."""
+    return mojibake.find(spark, table(spark, folder, "match_records"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of metas that repeat an earlier match, and the id of its first row."""
+    return incremental.repeated_matches(spark, table(spark, folder, "hashes"), table(spark, folder, "metas"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_restored, p7_found)}
 
 ORACLE: dict[str, str] = {}
