@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.llm import incremental, mojibake, near_duplicates
+from pipworks.llm import incremental, mojibake, near_duplicates, spam, spectral
 from pipworks.operators.components import group_pairs
 from pipworks.sources.tables import table
 
 
+def p1_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """All names of match_catalog by strength."""
+    return spectral.ranking(spark, table(spark, folder, "match_catalog"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of inbox_items with the same match in `moves`, and of meta_review with the same name in `file`."""
     moves = near_duplicates.transcript_groups(spark, table(spark, folder, "inbox_items"))
@@ -33,6 +38,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.repeated_matches(spark, table(spark, folder, "hashes"), table(spark, folder, "metas"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_restored, p7_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents made mostly of repeated keywords, links, tags or offers."""
+    return spam.flagged(spark, table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p5_found, p5_restored, p7_found, p10_found)}
 
 ORACLE: dict[str, str] = {}
