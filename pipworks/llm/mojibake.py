@@ -234,11 +234,9 @@ def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     return chosen.join(broken, "word", "full_outer").select("word", "written", "original")
 
 
-def find(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """(row_id, field, pos, value, restored) of the values of match_records that were decoded wrongly."""
-    values = values_of(records)
-    distinct = values.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
-    tokens = distinct.select("value", "times", F.explode(_words(F.col("value"))).alias("word"))
+def restored_values(spark: SparkSession, values: DataFrame) -> DataFrame:
+    """(value, restored) of the garbled ones among distinct values (value, times)."""
+    tokens = values.select("value", "times", F.explode(_words(F.col("value"))).alias("word"))
     words = tokens.groupBy("word").agg(F.sum("times").alias("n"))
     bad = Scratch(spark, "mojibake").save(garbled_words(spark, words), "words")
     pairs = tokens.join(bad, "word").groupBy("value").agg(F.collect_list(F.struct("word", "written", "original")).alias("pairs"))
@@ -256,5 +254,11 @@ def find(spark: SparkSession, records: DataFrame) -> DataFrame:
                 restored.append(value)
             yield pd.DataFrame({"value": batch["value"], "restored": restored})
 
-    found = pairs.mapInPandas(restore, "value string, restored string")
+    return pairs.mapInPandas(restore, "value string, restored string")
+
+
+def find(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """(row_id, field, pos, value, restored) of the values of match_records that were decoded wrongly."""
+    values = values_of(records)
+    found = restored_values(spark, values.groupBy("value").agg(F.count(F.lit(1)).alias("times")))
     return values.join(found, "value").select("row_id", "field", "pos", "value", "restored")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.llm import incremental, mojibake, near_duplicates, spam, spectral
+from pipworks.llm import incremental, mojibake, near_duplicates, resolution, spam, spectral
 from pipworks.operators.components import group_pairs
 from pipworks.sources.tables import table
 
@@ -23,6 +23,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds[0].unionByName(kinds[1])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different spellings of one player of match_catalog, or of one event of match_records."""
+    names = resolution.occurring_names(table(spark, folder, "match_catalog"), table(spark, folder, "match_records"))
+    pairs = group_pairs(resolution.name_groups(spark, names).select("name", F.struct("kind", "profile").alias("entity")), "entity", "name")
+    return pairs.select(F.col("entity.kind").alias("kind"), F.col("key_a").alias("name_a"), F.col("key_b").alias("name_b"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of match_records that were decoded wrongly."""
     return mojibake.find(spark, table(spark, folder, "match_records")).select("row_id", "field", "pos")
@@ -43,6 +50,6 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.flagged(spark, table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p5_found, p5_restored, p7_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p3_found, p5_found, p5_restored, p7_found, p10_found)}
 
 ORACLE: dict[str, str] = {}
