@@ -245,11 +245,11 @@ def restored_values(spark: SparkSession, values: DataFrame) -> DataFrame:
         for batch in batches:
             restored = []
             for value, pairs in zip(batch["value"], batch["pairs"], strict=True):
-                if any(p["original"] is None for p in pairs):
+                for p in sorted((p for p in pairs if p["original"] is not None), key=lambda p: -len(p["written"])):
+                    value = value.replace(p["written"] if p["written"] in value else p["word"], p["original"])
+                if any(p["original"] is None and p["word"] in value for p in pairs):
                     restored.append(None)
                     continue
-                for p in sorted(pairs, key=lambda p: -len(p["written"])):
-                    value = value.replace(p["written"] if p["written"] in value else p["word"], p["original"])
                 value = re.sub("Ã\u00a0|Ã (?= )", "à", value)  # à alone, whose second byte became a blank
                 restored.append(value)
             yield pd.DataFrame({"value": batch["value"], "restored": restored})
