@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.llm import incremental, mojibake, near_duplicates, resolution, spam, spectral
+from pipworks.llm import incremental, mixing, mojibake, near_duplicates, packing, resolution, spam, spectral
 from pipworks.operators.components import group_pairs
 from pipworks.sources.tables import table
 
@@ -45,11 +45,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.repeated_matches(spark, table(spark, folder, "hashes"), table(spark, folder, "metas"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Which container of each size holds which document."""
+    return packing.packed(spark, table(spark, folder, "documents"), table(spark, folder, "capacities"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents used to reach the shares of mix_targets, with their repeats."""
+    return mixing.mixture(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares reached."""
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mixture(spark, table(spark, folder, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents made mostly of repeated keywords, links, tags or offers."""
     return spam.flagged(spark, table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p3_found, p5_found, p5_restored, p7_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p3_found, p5_found, p5_restored, p7_found, p8_packed, p9_mixture, p9_shares, p10_found)}
 
 ORACLE: dict[str, str] = {}
