@@ -155,6 +155,28 @@ def hits_between(before: Position, after: Position, side: int) -> list[int] | No
     return [25 - p for p in left]
 
 
+def steps_between(before: Position, after: Position, side: int) -> list[Step] | None:
+    """Steps that lead from one position to the next for a side moving forward, through the points where it hit; None if none do."""
+    hits = hits_between(before, after, side)
+    if hits is None:
+        return None
+    change = [a - b for a, b in zip(after[side], before[side], strict=True)]
+    left = [p for p in range(25, -1, -1) for _ in range(-change[p])]
+    reached = [p for p in range(25, -1, -1) for _ in range(change[p])]
+    if len(left) != len(reached) or any(a <= b for a, b in zip(left, reached, strict=True)):
+        return None
+    steps = list(zip(left, reached, strict=True))
+    for point in hits:
+        if all(end != point for _, end in steps):
+            over = next((s for s in steps if s[0] > point > s[1]), None)
+            if over is None:
+                return None
+            at = steps.index(over)
+            steps[at : at + 1] = [(over[0], point), (point, over[1])]
+    done = apply_written(before, side, steps)
+    return steps if done and done[0] == after else None
+
+
 def position_text(position: Position) -> str:
     """Points 1 to 24 and the bar of either side, and what is off."""
     return "|".join([*(".".join(map(str, s[1:])) for s in position), ".".join(str(s[OFF]) for s in position)])

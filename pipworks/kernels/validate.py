@@ -5,8 +5,10 @@ A diagnostic is (severity, code, message, game, action). Errors refuse the match
 
 from __future__ import annotations
 
+import copy
+
 from pipworks.kernels import rules as R
-from pipworks.kernels.match_text import FormatError
+from pipworks.kernels.match_text import FormatError, dumped_position
 
 
 def diagnostic(severity: str, code: str, message: str, game: int | None = None, action: int | None = None) -> dict:
@@ -39,6 +41,8 @@ class _Game:
             if not last:
                 self.say("error", "V-DAMAGED", "a hidden play inside a game", k)
             return
+        if a.get("dump") and not self.dumped(k, a):
+            return
         steps = [tuple(s[:2]) for s in a["steps"]]
         plays, used = R.legal_plays(self.position, side, dice)
         done = R.apply_written(self.position, side, steps)
@@ -47,7 +51,10 @@ class _Game:
             return
         after, played = done
         if after not in plays:
-            if not steps and not last:
+            if self.declared(a):
+                a["illegal"] = True
+                self.say("warning", "V-ILLEGAL", "an illegal play, kept as it was made", k)
+            elif not steps and not last:
                 self.say("error", "V-DAMAGED", "no play is written although there is one", k)
             elif last and R.is_unfinished(self.position, side, dice, steps):
                 a["abandoned"] = True
@@ -59,6 +66,44 @@ class _Game:
         if after[side][R.OFF] == R.CHECKERS:
             self.end = side, "bearOff"
 
+    def declared(self, a: dict) -> bool:
+        """Whether the source calls this play illegal; a declaration is used once."""
+        if a.get("dump"):
+            return True
+        name = self.match["sides"][a["side"]]["name"]
+        for d in self.match.get("illegal", []):
+            if not d.get("used") and d["game"] == self.game["index"] and d["row"] == a.get("row") and d["player"] in (None, name):
+                d["used"] = True
+                return True
+        return False
+
+    def dumped(self, k: int, a: dict) -> bool:
+        """Puts the steps that lead to a dumped position in place of the dump."""
+        dump, names = a["dump"], [(s["name"] or "").casefold() for s in self.match["sides"]]
+        given = [n.casefold() for n in dump["names"]]
+        problem = None
+        if sorted(given) != sorted(names) or names[0] == names[1]:
+            problem = "names other players"
+        elif self.match["match_length"] and dump["length"] != self.match["match_length"]:
+            problem = "is of a match of another length"
+        else:
+            first = names.index(given[0])
+            if dump["scores"] != [self.game["start"][first], self.game["start"][1 - first]]:
+                problem = "is for another score"
+            else:
+                after = dumped_position(dump, first)
+                steps = R.steps_between(self.position, after, a["side"]) if after and R.fault(after) is None else None
+                following = next((b for b in self.game["actions"][k:] if b["kind"] == "move" and not b.get("hidden")), None)
+                if following and not following.get("dump") and sorted(following["dice"]) != sorted(dump["dice"]):
+                    problem = "is followed by another roll"
+                elif steps is None:
+                    problem = "does not follow by one play"
+                else:
+                    a["steps"] = steps
+        if problem:
+            self.say("error", "V-DAMAGED", f"the dumped position {problem}", k)
+        return problem is None
+
     def double(self, k: int, a: dict) -> None:
         side = a["side"]
         if self.offered is not None:
@@ -167,15 +212,69 @@ def validate(match: dict) -> tuple[dict, list[dict]]:
         else:
             game["result"] = None
     won = [length and s >= length for s in score]
+    for d in match.get("illegal", []):
+        if not d.get("used"):
+            found.append(diagnostic("warning", "V-ILLEGAL", f"no illegal play in row {d['row']}", d["game"]))
     match["result"] = {"score": score, "winner": won.index(True) if any(won) else None, "finished": any(won)}
     return match, found
 
 
-def read(text: str) -> tuple[dict | None, list[dict]]:
+#: Errors that say the plays of a game can't be read, while its result may be known (fixed values).
+UNREADABLE = {"V-LEGAL", "V-DAMAGED", "V-TURN", "V-CUBE"}
+
+
+def confirmed(match: dict, at: int) -> dict | None:
+    """The stated result of a game, if the next start score or the end of the match agrees with it."""
+    game, length = match["games"][at], match["match_length"]
+    stated = game["declared"]
+    if not length or not stated or stated["points"] < 1:
+        return None
+    after = list(game["start"])
+    after[stated["winner"]] += stated["points"]
+    if at + 1 < len(match["games"]):
+        return stated if match["games"][at + 1]["start"] == after else None
+    return stated if stated["ends_match"] or max(after) >= length else None
+
+
+def salvage(match: dict) -> tuple[dict, list[dict]]:
+    """Validation that keeps what is clear of a damaged match of several games: an unreadable game becomes its confirmed result or is left out, one that breaks off at the end is left out. At least one game must remain readable, and the winner known; otherwise the match stays refused."""
+    first = copy.deepcopy(match)
+    done, found = validate(copy.deepcopy(match))
+    errors = [d for d in found if d["severity"] == "error"]
+    games = first["games"]
+    last = len(games)
+    cut = last > 1 and done["games"][-1]["result"] is None and games[-1]["declared"] is None
+    errors = [d for d in errors if not (cut and d["game"] == last)]
+    if not (errors or cut) or last < 2 or any(d["code"] not in UNREADABLE or d["game"] is None for d in errors):
+        return done, found
+    notes, kept, readable = [], [], 0
+    for at, game in enumerate(games):
+        bad = any(d["game"] == at + 1 for d in errors)
+        if cut and at + 1 == last:
+            notes.append(diagnostic("warning", "V-PARTIAL", "the file stops inside this game: left out", at + 1))
+        elif not bad:
+            kept.append(game)
+            readable += 1
+        elif confirmed(first, at):
+            kept.append({**game, "actions": []})
+            notes.append(diagnostic("warning", "V-PARTIAL", "the plays can't be read; kept by its confirmed result", at + 1))
+        elif first["match_length"] and at + 1 == last:
+            return done, found
+        else:
+            notes.append(diagnostic("warning", "V-PARTIAL", "the plays can't be read: left out", at + 1))
+    if not readable:
+        return done, found
+    again, rest = validate({**first, "games": kept})
+    if any(d["severity"] == "error" for d in rest) or (first["match_length"] and not cut and not again["result"]["finished"]):
+        return done, found
+    return again, notes + rest
+
+
+def read(text: str, salvaged: bool = False) -> tuple[dict | None, list[dict]]:
     """Parsed and validated; a text that can't be read gives no match and one error."""
     from pipworks.kernels.match_text import parse
 
     try:
-        return validate(parse(text))
+        return (salvage if salvaged else validate)(parse(text))
     except FormatError as e:
         return None, [diagnostic("error", "V-FORMAT", f"{e}" + (f" (line {e.line})" if e.line else ""))]

@@ -198,3 +198,41 @@ def test_identifiers_round_trip():
 def test_parse_keeps_side_by_column():
     match = parse(_match("  1)                                    31: 8/5 6/5"))
     assert match["games"][0]["actions"][0]["side"] == 1
+
+
+def test_declared_illegal_play_is_kept():
+    rows = ["  1) 31: 8/4 6/5                        64: 24/14"]
+    text = '; [IllegalPlay "Game 1, Move 1 of Ann Ash"]\n' + _match(*rows)
+    match, found = read(text)
+    assert {d["code"] for d in found} == {"V-ILLEGAL", "V-RESULT"} and match["games"][0]["actions"][0]["illegal"]
+    again, _ = read(write(match))
+    assert content_hash(again) == content_hash(match)
+    assert "V-LEGAL" in {d["code"] for d in read(_match(*rows))[1]}
+    unused = read('; [IllegalPlay "Game 1, Move 9"]\n' + _match("  1) 31: 8/5 6/5"))[1]
+    assert "V-ILLEGAL" in {d["code"] for d in unused}
+
+
+def test_dump_of_an_illegal_play():
+    from pipworks.kernels.match_text import dumped_position, parse_dump
+
+    board = [0, -2, 0, 0, 0, 5, 1, 0, 3, 0, 0, 0, -5, 4, 0, 0, 0, -3, 0, -5, 0, 0, 0, 0, 2, 0]
+    values = ["3", "0", "1", "0", "0", "Ann Ash", "Bob Birch", "0", "0", "0", "1", "0", *map(str, board), "6", "4"]
+    dump = parse_dump(";".join(values) + ";")
+    position = dumped_position(dump, 0)
+    assert fault(position) is None and dumped_position(dump, 1) == position[::-1]
+    assert parse_dump("1;2") is None
+    match, found = read(_match(f"  1) 31: Illegal play ({';'.join(values)};)   64: 24/14"))
+    assert match is not None and any(d["code"] in ("V-DAMAGED", "V-ILLEGAL") for d in found)
+
+
+def test_salvage():
+    good = " Game 1\n Ann : 0                               Bob : 0\n  1) 31: 8/5 6/5                        Doubles => 2\n  2)  Drops\n                                        Wins 1 point\n\n"
+    bad = " Game 2\n Ann : 0                               Bob : 1\n  1) 31: 20/17 6/5\n                                        Wins 2 points and the match\n"
+    match, found = read("3 point match\n\n" + good + bad)
+    assert any(d["severity"] == "error" for d in found)
+    match, found = read("3 point match\n\n" + good + bad, salvaged=True)
+    assert not any(d["severity"] == "error" for d in found) and match["result"] == {"score": [0, 3], "winner": 1, "finished": True}
+    assert match["games"][1]["actions"] == [] and len(content_hash(match)) == 64
+    cut = " Game 2\n Ann : 0                               Bob : 1\n  1) 31: 8/5 6/5\n"
+    match, found = read("3 point match\n\n" + good + cut, salvaged=True)
+    assert len(match["games"]) == 1 and any(d["code"] == "V-PARTIAL" for d in found)
