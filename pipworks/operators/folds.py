@@ -87,8 +87,8 @@ def error_class(error: Column) -> Column:
 
 
 def rating(decisions: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of decisions (error, counted): counted decisions, total error over all of them, classes, and the rating, null without counted decisions."""
+    """Per group of decisions (error, counted): counted decisions; over all of them total error and classes;  and the rating, null without counted decisions."""
     cls = error_class(F.col("error"))
-    classes = [F.count_if((cls == name) & F.col("counted")).alias(name) for name, _ in ERROR_CLASSES]
+    classes = [F.count_if(cls == name).alias(name) for name, _ in ERROR_CLASSES]
     n = F.count_if("counted")
     return decisions.groupBy(*by).agg(n.alias("decisions"), F.sum("error").alias("total"), *classes, (RATING_SCALE * F.sum("error") / F.nullif(n, F.lit(0))).alias("rating"))

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.kernels import sgf
+from pipworks.kernels import analysis, sgf
+from pipworks.kernels.analysis import EquityTable
 from pipworks.kernels.identity import content_hash, roll_tokens
 from pipworks.kernels.ids import Context, to_gnubg_id, to_xgid
 from pipworks.kernels.match_text import FormatError, decode, kind_of, parse, write
-from pipworks.kernels.validate import diagnostic, validate
+from pipworks.kernels.validate import diagnostic, salvage, validate
 
 #: Bounds of an archive (fixed values): entries, bytes of an entry, bytes of all.
 ARCHIVE_LIMITS = (500, 10_000_000, 50_000_000)
@@ -28,14 +29,14 @@ SUMMARY = f"path string, format string, dialect string, p0 string, p1 string, ma
 ACTIONS = "path string, game int, at int, side int, kind string, dice string, cube int, xgid string, gnubg_id string"
 
 
-def read_bytes(data: bytes) -> tuple[dict | None, str, list[dict]]:
+def read_bytes(data: bytes, salvaged: bool = False) -> tuple[dict | None, str, list[dict]]:
     """Match, format and diagnostics of one file."""
     kind = kind_of(data)
     if kind == "xg":
         return None, kind, [diagnostic("error", "V-FORMAT", "binary files of this kind are not read")]
     text, encoding = decode(data)
     try:
-        match, found = validate(sgf.parse(text) if kind == "sgf" else parse(text))
+        match, found = (salvage if salvaged else validate)(sgf.parse(text) if kind == "sgf" else parse(text))
     except (FormatError, ValueError, KeyError, IndexError) as e:
         return None, kind, [diagnostic("error", "V-FORMAT", str(e)[:200])]
     if not encoding.startswith("utf"):
@@ -43,8 +44,8 @@ def read_bytes(data: bytes) -> tuple[dict | None, str, list[dict]]:
     return match, kind, found
 
 
-def _summary(path: str, data: bytes) -> tuple:
-    match, kind, found = read_bytes(data)
+def _summary(path: str, data: bytes, salvaged: bool) -> tuple:
+    match, kind, found = read_bytes(data, salvaged)
     bad = any(d["severity"] == "error" for d in found)
     if match is None:
         return (path, kind, *[None] * 11, "error", None, found)
@@ -64,9 +65,9 @@ def _run(files: DataFrame, schema: str, rows) -> DataFrame:
     return files.filter("content is not null").select("path", "content").mapInPandas(run, schema)
 
 
-def summaries(files: DataFrame) -> DataFrame:
+def summaries(files: DataFrame, salvaged: bool = False) -> DataFrame:
     """One row per file (path, content as text or binary): what it is, its result, its status and its identity."""
-    return _run(files, SUMMARY, lambda path, data: [_summary(path, data)])
+    return _run(files, SUMMARY, lambda path, data: [_summary(path, data, salvaged)])
 
 
 def diagnostics(found: DataFrame) -> DataFrame:
@@ -102,6 +103,20 @@ def tokens(files: DataFrame) -> DataFrame:
     return _run(files, "path string, tokens array<array<string>>", lambda path, data: [(path, roll_tokens(m))] if (m := read_bytes(data)[0]) else [])
 
 
+def decisions(files: DataFrame, table: EquityTable | None = None) -> DataFrame:
+    """(path, game, side, kind, error, plies, counted) of every analysed decision in SGF files."""
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        if kind_of(data) != "sgf":
+            return []
+        try:
+            return [(path, *d.values()) for d in analysis.decisions(decode(data)[0], table)]
+        except (FormatError, ValueError, IndexError, KeyError):
+            return []
+
+    return _run(files, "path string, game int, side int, kind string, error double, plies int, counted boolean", rows)
+
+
 def normal_texts(files: DataFrame) -> DataFrame:
     """(path, text) of every file without errors, in the normal layout."""
 

@@ -380,7 +380,7 @@ ORACLE = SEARCH_SQL | {
     "series_numbers": """WITH k AS (SELECT item_id, array_to_string(list_sort(players), '|') AS who, date, time FROM inbox_items), w AS (SELECT item_id, row_number() OVER (PARTITION BY who, date ORDER BY time NULLS FIRST, item_id) AS number, count(*) OVER (PARTITION BY who, date) AS "of", count(time) OVER (PARTITION BY who, date) AS timed, count(DISTINCT time) OVER (PARTITION BY who, date) AS d FROM k WHERE who IS NOT NULL AND date IS NOT NULL) SELECT item_id, number, "of" FROM w WHERE "of" > 1 AND timed = "of" AND d = "of" """,
     "sealed_shards": f"SELECT row_id, {_SHARD} AS source_key, CAST((row_number() OVER (PARTITION BY {_SHARD} ORDER BY row_id) - 1) // 250 AS INT) AS shard_no FROM match_catalog",
     "rating": """WITH d AS (SELECT user_id, value / 100 AS e, event_type <> 'view' AS c FROM events), k AS (SELECT *, CASE WHEN e >= 0.1599995 THEN 'blunder' WHEN e >= 0.0799995 THEN 'error' WHEN e >= 0.0399995 THEN 'inaccuracy' ELSE 'fine' END AS cls FROM d)
-      SELECT user_id, count(*) FILTER (c) AS decisions, round(sum(e), 6) AS total, count(*) FILTER (c AND cls = 'blunder') AS blunder, count(*) FILTER (c AND cls = 'error') AS error, count(*) FILTER (c AND cls = 'inaccuracy') AS inaccuracy, round(500 * sum(e) / nullif(count(*) FILTER (c), 0), 4) AS rating FROM k GROUP BY user_id""",
+      SELECT user_id, count(*) FILTER (c) AS decisions, round(sum(e), 6) AS total, count(*) FILTER (cls = 'blunder') AS blunder, count(*) FILTER (cls = 'error') AS error, count(*) FILTER (cls = 'inaccuracy') AS inaccuracy, round(500 * sum(e) / nullif(count(*) FILTER (c), 0), 4) AS rating FROM k GROUP BY user_id""",
     "sidecar_values": "SELECT file_no, j->>'$.id' AS id, j->>'$.contentHash' AS content_hash, CAST(j->>'$.matchLength' AS INT) AS match_length, j->>'$.date' AS date, j->>'$.event' AS event, j->>'$.sides[0].name' AS p0, j->>'$.provenance.contributor' AS contributor FROM (SELECT file_no, CAST(content AS JSON) AS j FROM match_files WHERE ext = 'meta.json' AND content <> '')",
     "pseudonyms": f"SELECT norm, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(norm)))) AS code FROM (SELECT DISTINCT norm FROM ({_SIDES}) WHERE norm <> '')",
     "near_components": f"""WITH RECURSIVE k AS (SELECT row_id, id, {_DISPLAY} AS key FROM match_catalog), l AS (SELECT a, b FROM (SELECT min(row_id) OVER (PARTITION BY id) AS a, row_id AS b FROM k UNION SELECT min(row_id) OVER (PARTITION BY key), row_id FROM k) WHERE a < b),

@@ -236,3 +236,17 @@ def test_salvage():
     cut = " Game 2\n Ann : 0                               Bob : 1\n  1) 31: 8/5 6/5\n"
     match, found = read("3 point match\n\n" + good + cut, salvaged=True)
     assert len(match["games"]) == 1 and any(d["code"] == "V-PARTIAL" for d in found)
+
+
+def test_decisions_of_an_analysed_game():
+    from pipworks.kernels.analysis import EquityTable, decisions
+
+    play = lambda eq: f"aabb E ver 3 0.5 0.1 0.0 0.1 0.0 {eq} 2C 0 1 0.0 1"
+    cube = "E ver 3 2C 0 1 0.0 " + " ".join(["0"] * 6 + ["0.4"] + ["0"] * 6 + ["0.7"])
+    text = f"(;GM[6]MI[length:0];B[31qtst]A[1][{play(0.2)}][{play(0.05)}];W[double]DA[{cube}];B[take];W[64xrrn]A[0][{play(0.1)}])"
+    got = decisions(text)
+    assert [(d["side"], d["kind"], round(d["error"], 3), d["plies"], d["counted"]) for d in got] == [(0, "move", 0.15, 3, True), (1, "double", 0.0, 3, True), (0, "take", 0.0, 3, True), (1, "move", 0.0, 3, False)]
+    even = EquityTable([[0.5, 0.7], [0.3, 0.5]], [0.5, 0.5])
+    assert even.chance(0, 2, False) == 1 and even.chance(1, 0, True) == 0 and even.chance(2, 1, False) == 0.3 and even.chance(2, 1, True) == 0.5
+    assert abs(even.normalised(0.5, 2, 2, 1)) < 1e-9
+    assert decisions(text.replace("length:0", "length:2")) and len(decisions(text.replace("length:0", "length:2"))) == 2
