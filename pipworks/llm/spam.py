@@ -66,11 +66,10 @@ def judged(spark: SparkSession, documents: DataFrame) -> DataFrame:
     each = units(documents.select("doc_id", "text", "author"))
     phrases = scratch.save(replicated_phrases(each), "phrases")
     keywords = scratch.save(phrases.select(F.explode(F.split("phrase", " ")).alias("word")).distinct(), "keywords")
-    numbered = each.withColumn("unit", F.xxhash64("words", "chars", "url_chars"))  # equal units of one document are judged once and counted
-    distinct = numbered.groupBy("doc_id", "unit").agg(F.sum("chars").alias("chars"), F.sum("url_chars").alias("url_chars"), F.sum("links").alias("links"), F.first("dense").alias("dense"), F.first("words").alias("words"))
-    word = distinct.select("doc_id", "unit", F.explode("words").alias("word"))
-    covered = word.join(keywords, "word").groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("keywords"))
-    scored = distinct.join(covered, ["doc_id", "unit"], "left").select("doc_id", "chars", "url_chars", "links", "dense", F.coalesce("keywords", F.lit(0)).alias("keywords"), F.size("words").alias("n"))
+    word = each.withColumn("unit", F.monotonically_increasing_id()).select("doc_id", "unit", "chars", "url_chars", "links", "dense", F.explode_outer("words").alias("word"))
+    # the words of a unit lie together, so counting them combines almost completely before the shuffle
+    marked = word.join(keywords.withColumn("keyword", F.lit(1)), "word", "left")
+    scored = marked.groupBy("doc_id", "unit", "chars", "url_chars", "links", "dense").agg(F.count("word").alias("n"), F.count("keyword").alias("keywords"))
     share = F.when(F.col("n") > 0, F.col("keywords") / F.col("n")).otherwise(F.lit(0.0))
     worded = (share >= STUFFED) & ((F.col("n") >= 4) | F.col("dense"))
     linked = 2 * F.col("url_chars") > F.col("chars")
