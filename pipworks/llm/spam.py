@@ -15,6 +15,8 @@ any length is read whole; the same doc_id given twice is judged as one document
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +49,21 @@ def units(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", "host", "chars", "url_chars", "links", dense.alias("dense"), "words")
 
 
-def _phrases(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+def _phrases(words: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Every distinct pair of neighbouring words, made into a value by `of`."""
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), of))
 
 
-def replicated_phrases(spark_units: DataFrame) -> DataFrame:
-    """(phrase, dense_hosts, other_hosts) of the phrases that several hosts use, mostly in dense units."""
-    long = spark_units.filter(F.size("words") >= 2).select("host", "dense", F.explode(_phrases(F.col("words"))).alias("phrase"))
-    in_dense = long.filter("dense").groupBy("phrase").agg(F.count_distinct("host").alias("dense_hosts")).filter(F.col("dense_hosts") >= MIN_HOSTS)
-    elsewhere = long.filter("not dense").join(in_dense.select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.count_distinct("host").alias("other_hosts"))
-    both = in_dense.join(elsewhere, "phrase", "left").select("phrase", "dense_hosts", F.coalesce("other_hosts", F.lit(0)).alias("other_hosts"))
+def replicated_phrases(each: DataFrame) -> DataFrame:
+    """(phrase, dense_hosts, other_hosts) of the phrases that several hosts use, mostly in dense units. Phrases of other units are looked up by a 64-bit hash."""
+    paired = each.filter(F.size("words") >= 2)
+    dense = paired.filter("dense").select("host", F.explode(_phrases(F.col("words"), lambda a, b: F.concat_ws(" ", a, b))).alias("phrase"))
+    in_dense = dense.groupBy("phrase").agg(F.count_distinct("host").alias("dense_hosts")).filter(F.col("dense_hosts") >= MIN_HOSTS)
+    in_dense = in_dense.withColumn("key", F.xxhash64(F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)))
+    other = paired.filter("not dense").select("host", F.explode(_phrases(F.col("words"), lambda a, b: F.xxhash64(a, b))).alias("key"))
+    elsewhere = other.join(in_dense.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("host").alias("other_hosts"))
+    both = in_dense.join(elsewhere, "key", "left").select("phrase", "dense_hosts", F.coalesce("other_hosts", F.lit(0)).alias("other_hosts"))
     return both.filter(F.col("dense_hosts") >= DENSE_SHARE * (F.col("dense_hosts") + F.col("other_hosts")))
 
 
