@@ -233,14 +233,14 @@ def test_event_forms():
 
 
 def test_names_are_merged_and_matched_again(spark):
-    players = ["Margarethe Dantonkun", "Peggy Dantonkun", "Dantonkun M.", "Dorothea Dantonkun", "D. Dantonkun", "Ann Berry", "Alan Berry", "A. Berry", "kettle_fox00", "fox.kettle_00", "Xaver Holmquist", "Xaver Holmqist", "Holmqist, Xaver", None, ""]
+    players = ["Margarethe Dantonkun", "Peggy Dantonkun", "Dantonkun M.", "Dorothea Dantonkun", "D. Dantonkun", "Ann Berry", "Alan Berry", "A. Berry", "kettle_fox00", "fox.kettle_00", "Xaver Holmquist", "Xaver Holmqist", "Holmqist, Xaver", None, "", "Ed Tarn", "Tarn E.", "Ed Lund", "Edmund Lund", "E. Lund", "IsabellaŠmid", "Izzy Šmid"]
     events = ["Würzau Cup 2001", "WÃ¼rzau Cup 2001", "Wurzau Cup '01", "Online match", "?"]
     names = spark.createDataFrame([("player", p, 3) for p in players] + [("event", e, 5 if k == 0 else 1) for k, e in enumerate(events)], "kind string, name string, times long")
     by = {}
     for r in resolution.name_groups(spark, names).collect():
         by.setdefault((r.kind, r.profile), set()).add(r.name)
     groups = {frozenset(g) for g in by.values() if len(g) > 1}
-    assert groups == {frozenset(g) for g in (players[:3], players[3:5], players[8:10], players[10:13], events[:3])}
+    assert groups == {frozenset(g) for g in (players[:3], players[3:5], players[8:10], players[10:13], players[15:17], players[17:20], players[20:22], events[:3])}
     assert resolution.name_groups(spark, names.limit(0)).count() == 0
 
 
