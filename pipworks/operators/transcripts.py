@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from pipworks.kernels import analysis, sgf
 from pipworks.kernels.analysis import EquityTable
+from pipworks.kernels.file_names import propose
 from pipworks.kernels.identity import content_hash, roll_tokens
 from pipworks.kernels.ids import Context, to_gnubg_id, to_xgid
 from pipworks.kernels.match_text import FormatError, decode, kind_of, parse, write
+from pipworks.kernels.sequences import shared_rolls
 from pipworks.kernels.validate import diagnostic, salvage, validate
 
 #: Bounds of an archive (fixed values): entries, bytes of an entry, bytes of all.
@@ -127,6 +129,29 @@ def normal_texts(files: DataFrame) -> DataFrame:
     return _run(files, "path string, text string", rows)
 
 
+def proposals(items: DataFrame) -> DataFrame:
+    """(item_id, event, round, date, time, number, of, stage) that the names of files (item_id, file, players) propose."""
+    columns = ["event", "round", "date", "time", "number", "of", "stage"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [propose(name.rsplit(".", 1)[0], list(players) if players is not None else None) for name, players in zip(b["file"], b["players"], strict=True)]
+            yield pd.DataFrame([(i, *(getattr(p, c) for c in columns)) for i, p in zip(b["item_id"], found, strict=True)], columns=["item_id", *columns]).astype({"number": "Int64", "of": "Int64"})
+
+    return items.filter("file is not null").select("item_id", "file", "players").mapInPandas(run, "item_id long, event string, round string, date string, time string, number int, of int, stage string")
+
+
+def roll_shares(pairs: DataFrame) -> DataFrame:
+    """Adds `share`, the part of the rolls of the longer sequence that `rolls_a` and `rolls_b` have in common, in order; null where one is missing."""
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        split = [(x.split(), y.split()) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)]
+        return pd.Series([shared_rolls([p[0]], [p[1]])[0] if p else None for p in split], dtype="float64")
+
+    return pairs.withColumn("share", share("rolls_a", "rolls_b"))
+
+
 def folder(spark: SparkSession, path: str) -> DataFrame:
     """The files below a folder, archives unpacked on the way: path, content, problem. An archive beyond ARCHIVE_LIMITS, or a damaged one, is one row with a problem."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")

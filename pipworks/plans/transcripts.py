@@ -28,5 +28,18 @@ def transcript_actions(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.actions(_files(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (transcript_summaries, transcript_problems, transcript_actions)}
+def file_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the names of inbox files propose."""
+    return transcripts.proposals(table(spark, folder, "inbox_items"))
+
+
+def roll_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Rolls that rows of metas share with the accepted match whose hash begins alike."""
+    start = lambda c: F.substring(F.lower(F.trim(F.element_at(F.split(c, "/"), -1))), 1, 16)
+    a = table(spark, folder, "metas").select("row_id", start("id").alias("start"), F.col("rolls").alias("rolls_a"))
+    b = table(spark, folder, "hashes").select(start("id").alias("start"), F.col("id").alias("accepted_id"), F.col("rolls").alias("rolls_b"))
+    return transcripts.roll_shares(a.join(b, "start")).select("row_id", "accepted_id", F.round("share", 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (transcript_summaries, transcript_problems, transcript_actions, file_proposals, roll_shares)}
 ORACLE: dict[str, str] = {}
