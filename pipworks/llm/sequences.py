@@ -1,24 +1,13 @@
-"""Longest common subsequences, by bit-parallel arithmetic on Python's integers."""
+"""Comparing sequences and words: upper bounds, longest common subsequences, edit distances within a limit."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
 
+from pipworks.kernels.sequences import lcs_length
 
-def lcs_length(a: Sequence, b: Sequence) -> int:
-    """Length of the longest common subsequence; one big-integer step per element of `b`."""
-    if not len(a) or not len(b):
-        return 0
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    state = full
-    for x in b:
-        hit = state & where.get(x, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
+__all__ = ["common", "edit_distance_at_most", "lcs_length"]
 
 
 def common(a: Sequence, b: Sequence) -> int:
