@@ -64,7 +64,11 @@ def _run(files: DataFrame, schema: str, rows) -> DataFrame:
             out = [r for path, content in zip(b["path"], b["content"], strict=True) for r in rows(path, content.encode() if isinstance(content, str) else bytes(content))]
             yield pd.DataFrame(out, columns=columns)
 
-    return files.filter("content is not null").select("path", "content").mapInPandas(run, schema)
+    chosen = files.filter("content is not null").select("path", "content")
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if chosen.rdd.getNumPartitions() < cores:  # replaying costs far more than moving a few files
+        chosen = chosen.repartition(cores)
+    return chosen.mapInPandas(run, schema)
 
 
 def summaries(files: DataFrame, salvaged: bool = False) -> DataFrame:
