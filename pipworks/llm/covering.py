@@ -1,4 +1,4 @@
-"""Covering locality-sensitive hashing: structured masks over a sketch, and links from its tables.
+"""Covering locality-sensitive hashing: structured masks over a sketch, and links and pairs from its tables.
 
 A record's features are reduced to a sketch of `WIDTH` coordinates, each the least value of one hash function over the
 features (so two sketches agree at a coordinate with the probability of their Jaccard similarity). A family of bit masks
@@ -20,6 +20,8 @@ _MUL = np.random.default_rng(20_011).integers(1, 2**63, WIDTH, dtype=np.uint64)
 _ADD = np.random.default_rng(20_012).integers(0, 2**63, WIDTH, dtype=np.uint64)
 #: The masks as pairs of coordinates, and the distinct salt of each table.
 MASKS = np.array(list(combinations(range(WIDTH), 2)))
+#: Nodes of a bucket that are paired in one place; larger buckets are cut into blocks and every pair of blocks is made.
+BLOCK = 256
 _SALT = np.random.default_rng(20_013).integers(0, 2**63, len(MASKS), dtype=np.uint64)
 
 
@@ -58,8 +60,27 @@ def table_links(keys: DataFrame, node: str = "node", key: str = "key") -> DataFr
 
     Every node of a bucket is linked to the bucket's least node and to the one before it: for up to three nodes these are
     all pairs, beyond that at most twice as many links as nodes, so a large bucket never multiplies. Nodes that belong
-    together share many tables, each with other neighbours.
+    together share many tables, each with other neighbours. What these links leave open is for `table_pairs`.
     """
     order = Window.partitionBy(key).orderBy(node)
     seen = keys.select(node, F.lag(node).over(order).alias("before"), F.min(node).over(Window.partitionBy(key)).alias("least")).filter("before is not null")
     return seen.select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col(node).alias("b")).filter("a <> b").distinct()
+
+
+def table_pairs(keys: DataFrame, ratio: float = 0.0) -> DataFrame:
+    """Distinct pairs (a < b) of nodes that share a table key and are not of one group yet, of `keys` (node, key, group, size).
+
+    No pair of a bucket is left out but those of one group and those whose smaller size is below `ratio` of the larger.
+    A bucket of more than BLOCK nodes is cut into blocks; each pair of blocks meets under a key of its own, so a hot
+    bucket is spread over many tasks.
+    """
+    bucket = Window.partitionBy("key")
+    mixed = keys.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = mixed.select("node", "key", "group", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("own"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("node", "key", "group", "size", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    side = lambda name: spread.select("key", "lo", "hi", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "group", "size", "own")])
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & ((F.col("lo") == F.col("hi")) | (F.col("own_a") != F.col("own_b")))
+    sized = F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b") - 1e-9
+    return side("a").join(side("b"), ["key", "lo", "hi"]).filter(apart & sized).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

@@ -1,8 +1,9 @@
 """Groups of records that are the same but for small edits: transcripts of matches, and file names.
 
 Equal records (after normalisation) are put together by a hash first, so copies cost one shuffle of (hash, id) rows.
-The distinct ones are sketched and meet in the tables of `covering`; each link is then checked exactly, and groups are
-the connected components of the links that hold.
+The distinct ones are sketched and meet in the tables of `covering`. A few links per bucket are checked exactly first;
+then every pair of a bucket that these have not put into one group is checked too, and groups are the connected
+components of the links that hold.
 
 Defined cases: null texts belong to no group; a transcript without plays, however long, belongs to no group; equal rows
 form a group; ids are compared as numbers; further columns of the input are not looked at; empty tables give no groups.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.llm.covering import table_keys, table_links
+from pipworks.llm.covering import table_keys, table_links, table_pairs
 from pipworks.llm.sequences import common, edit_distance_at_most, lcs_length
 from pipworks.operators.components import components
 from pipworks.storage import Scratch
@@ -102,11 +103,11 @@ def _transcript_keys(games: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([keys, table_keys(np.unique(plays), salt=1)]) if len(plays) < SHORT_PLAYS else keys
 
 
-def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, keys_of, same) -> DataFrame:
+def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, keys_of, same, size_of=lambda _: 0, ratio: float = 0.0) -> DataFrame:
     """(id, root) of every row of `rows` (id, value) that has a partner.
 
     `parse` makes the normal form of a value, or None where it belongs to no group; `keys_of` gives the table keys of a
-    normal form, `same` decides on two of them.
+    normal form, `same` decides on two of them. It never holds where the smaller `size_of` is below `ratio` of the larger.
     """
     scratch = Scratch(spark, "near-duplicates")
 
@@ -124,23 +125,29 @@ def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, key
 
     def hash_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "keys": [keys_of(f) for f in batch["form"]]})
+            yield pd.DataFrame({"node": batch["node"], "size": [size_of(f) for f in batch["form"]], "keys": [keys_of(f) for f in batch["form"]]})
 
     one = scratch.save(one, "distinct")
-    keys = one.mapInPandas(hash_forms, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    links = table_links(keys)
+    keys = scratch.save(one.mapInPandas(hash_forms, "node long, size long, keys array<long>").select("node", "size", F.explode("keys").alias("key")), "keys")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             holds = [same(x, y) for x, y in zip(batch["form_a"], batch["form_b"], strict=True)]
             yield batch.loc[holds, ["a", "b"]]
 
-    sides = links.join(one.select(F.col("node").alias("a"), F.col("form").alias("form_a")), "a").join(one.select(F.col("node").alias("b"), F.col("form").alias("form_b")), "b")
-    holding = scratch.save(sides.mapInPandas(check, "a long, b long"), "links")
-    roots = components(spark, holding)
+    def holding(pairs: DataFrame, name: str) -> DataFrame:
+        sides = pairs.join(one.select(F.col("node").alias("a"), F.col("form").alias("form_a")), "a").join(one.select(F.col("node").alias("b"), F.col("form").alias("form_b")), "b")
+        return scratch.save(sides.mapInPandas(check, "a long, b long"), name)
+
+    links = holding(table_links(keys), "links")
+    roots = components(spark, links)
+    labelled = keys.join(roots, "node", "left").select("node", "key", "size", F.coalesce("root", "node").alias("group"))
+    rest = holding(table_pairs(labelled, ratio), "rest")
+    if not rest.isEmpty():
+        roots = components(spark, links.unionByName(rest))
     grouped = member.join(roots, "node", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "node").alias("root"))
     out = scratch.save(grouped, "groups")
-    for name in ("parsed", "distinct", "links"):
+    for name in ("parsed", "distinct", "keys", "links", "rest"):
         scratch.drop(name)
     return out
 
@@ -152,7 +159,7 @@ def _parse_moves(text: str) -> list[list[int]] | None:
 def transcript_groups(spark: SparkSession, items: DataFrame, key: str = "item_id", text: str = "moves") -> DataFrame:
     """(id, root) of the rows whose transcripts are of the same match as another row's."""
     rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("value"))
-    return _groups(spark, rows, "array<array<long>>", _parse_moves, _transcript_keys, same_match)
+    return _groups(spark, rows, "array<array<long>>", _parse_moves, _transcript_keys, same_match, lambda games: sum(map(len, games)), SAME_PLAYS)
 
 
 # Words at either end of a file name that only mark a copy or version.

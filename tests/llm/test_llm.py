@@ -58,6 +58,18 @@ def test_bucket_links_stay_linear(spark):
     assert {(1, 2), (1, 3), (2, 3)} <= {tuple(r) for r in links}
 
 
+def test_bucket_pairs_are_whole(spark, monkeypatch):
+    """Every pair of a bucket, also where the bucket is cut into blocks; only pairs of one group and of sizes too far apart are left out."""
+    monkeypatch.setattr(covering, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = [(n, k, n % 5 if n < 20 else n, 1 + n % 3) for k in range(3) for n in rng.sample(range(60), 40)]
+    keys = spark.createDataFrame(rows, "node long, key long, group long, size long")
+    for ratio in (0.0, 0.5):
+        want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] != y[2] and min(x[3], y[3]) >= ratio * max(x[3], y[3])}
+        got = [tuple(r) for r in covering.table_pairs(keys, ratio).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # Near duplicates
 
 
@@ -130,6 +142,23 @@ def test_file_names(spark):
     assert _pairs(near_duplicates.file_name_groups(spark, df)) == _brute(forms, near_duplicates.same_name)
 
 
+def test_names_that_meet_are_compared(spark):
+    """Names with the same numbers fill the same buckets; a pair that meets in any of them is found whatever rows lie between."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 8))) for _ in range(20)]
+    names = [" ".join(rng.sample(words, 5)) for _ in range(800)]
+    for k in range(60):  # one letter replaced
+        at = rng.choice([i for i, c in enumerate(names[k]) if c != " "])
+        names.append(names[k][:at] + rng.choice("xyzq") + names[k][at + 1 :])
+    order = rng.sample(range(len(names)), len(names))
+    rows = [(order[k], f"2009 {n} 7.mat") for k, n in enumerate(names)]
+    forms = {k: near_duplicates.name_form(n) for k, n in rows}
+    keys = {k: set(near_duplicates._name_keys(f)) for k, f in forms.items()}
+    met = {(a, b) for a, b in itertools.combinations(sorted(forms), 2) if keys[a] & keys[b] and near_duplicates.same_name(forms[a], forms[b])}
+    got = _pairs(near_duplicates.file_name_groups(spark, spark.createDataFrame(rows, "row_id long, file string")))
+    assert len(met) >= 50 and met <= got
+
+
 def test_empty_inputs(spark):
     assert near_duplicates.transcript_groups(spark, spark.createDataFrame([], "item_id long, moves string")).count() == 0
     assert near_duplicates.file_name_groups(spark, spark.createDataFrame([], "row_id long, file string")).count() == 0
