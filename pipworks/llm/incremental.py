@@ -8,8 +8,8 @@ match and non-match frequencies over comparison patterns), checked, and linked;
 now, or of representatives that are merged, are written.
 
 A sequence of rolls meets others through its four-grams in the covering tables of `covering`; sequences that are exactly
-equal share one entry, so a match that makes up much of the history is stored and compared once. Of the entries under
-one key a probe takes the earliest and the latest, never the whole bucket; entries of one match share many keys.
+equal share one entry, so a match that makes up much of the history is stored and compared once; so do equal hashes,
+and equal hex parts of ids where there is no hash. A probe is compared with every entry under each of its keys.
 
 Defined cases: rows without a content hash are known by the hex part of their id; without rolls only the hash counts; a
 row with neither an id, a hash nor rolls repeats nothing; fewer than four rolls are compared only if equal; repeated rows
@@ -59,14 +59,19 @@ def prepared(rows: DataFrame, batch: int, seq: Column) -> DataFrame:
 
 
 def _exact_keys(rows: DataFrame) -> DataFrame:
-    """(node, key) for the start of the hash and for the whole sequence of rolls."""
-    start = F.substring(F.coalesce("hash", "hex"), 1, 16)
-    keys = F.array(F.when(start.isNotNull(), F.xxhash64(F.lit("hash"), start)), F.when(F.col("rolls").isNotNull(), F.xxhash64(F.lit("rolls"), "rolls")))
-    return rows.select("node", F.explode(F.array_compact(keys)).alias("key"))
+    """(node, key, ident) for the start of the hash and for the whole sequence of rolls; rows of one ident are the same."""
+    full = F.coalesce("hash", "hex")
+    start = F.substring(full, 1, 16)
+    entry = lambda key, ident: F.struct(key.alias("key"), ident.alias("ident"))
+    keys = F.array(
+        F.when(start.isNotNull(), entry(F.xxhash64(F.lit("hash"), start), F.xxhash64(full, F.col("hash").isNull()))),
+        F.when(F.col("rolls").isNotNull(), entry(F.xxhash64(F.lit("rolls"), "rolls"), F.xxhash64("rolls"))),
+    )
+    return rows.select("node", F.explode(F.array_compact(keys)).alias("k")).select("node", "k.key", "k.ident")
 
 
 def _band_keys(rows: DataFrame) -> DataFrame:
-    """(node, key) of the covering tables over four-grams of rolls."""
+    """(node, key, ident) of the covering tables over four-grams of rolls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -77,10 +82,10 @@ def _band_keys(rows: DataFrame) -> DataFrame:
                 for k in range(1, GRAM):
                     grams = grams * np.uint64(100) + codes[k : len(codes) - GRAM + 1 + k]
                 keys.append(table_keys(np.unique(grams)))
-            yield pd.DataFrame({"node": batch["node"], "keys": keys})
+            yield pd.DataFrame({"node": batch["node"], "ident": batch["ident"], "keys": keys})
 
-    long_enough = rows.filter(F.size(F.split("rolls", " ")) >= GRAM).select("node", "rolls")
-    return long_enough.mapInPandas(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    long_enough = rows.filter(F.size(F.split("rolls", " ")) >= GRAM).select("node", "rolls", F.xxhash64("rolls").alias("ident"))
+    return long_enough.mapInPandas(run, "node long, ident long, keys array<long>").select("node", F.explode("keys").alias("key"), "ident")
 
 
 def hash_relation(hash_a: Column, hex_a: Column, hash_b: Column, hex_b: Column) -> Column:
@@ -164,23 +169,25 @@ class MatchHistory:
         first = not self.batches
         self.batches.append(batch)
         exact = _exact_keys(new)
-        sequences = new.filter("rolls is not null").groupBy("rolls").agg(F.min("node").alias("node"))
+        entries = exact.groupBy("key", "ident").agg(F.min("node").alias("node")).select("node", "key", "ident")
+        bands = _band_keys(new.filter("rolls is not null").groupBy("rolls").agg(F.min("node").alias("node")))
         if first:
-            self._store_keys(exact.groupBy("key").agg(F.min("node").alias("node")).select("node", "key").unionByName(_band_keys(sequences)))
-            return self._links(new, exact, None, batch)
-        probe = self.scratch.save(exact.unionByName(_band_keys(sequences)), f"probe/{batch}")
-        links = self._links(new, probe, self.spark.table(self.keys_table), batch)
-        self._store_keys(probe.groupBy("key").agg(F.min("node").alias("node")).select("node", "key"))
+            self._store_keys(entries.unionByName(bands))
+            return self._links(new, self._beside(exact, entries), batch, False)
+        probe = self.scratch.save(entries.unionByName(bands), f"probe/{batch}")
+        stored = self.spark.table(self.keys_table).select("key", F.col("node").alias("other"), F.col("ident").alias("stored"))
+        met = self.scratch.save(stored.join(probe.hint("shuffle_hash"), "key").select("node", "key", "other", (F.col("stored") == F.col("ident")).alias("known")), f"met/{batch}")
+        links = self._links(new, self._beside(exact, probe).unionByName(met.select("node", "other")), batch, True)
+        self._store_keys(probe.join(met.filter("known").select("node", "key"), ["node", "key"], "left_anti").select("node", "key", "ident"))
         return links
 
-    def _links(self, new: DataFrame, probe: DataFrame, history: DataFrame | None, batch: int) -> DataFrame:
-        over = Window.partitionBy("key")
-        beside = probe.select("node", F.lag("node").over(over.orderBy("node")).alias("before"), F.min("node").over(over).alias("least"))
-        near = beside.select("node", F.explode(F.array("before", "least")).alias("other")).filter("other < node")
-        if history is not None:
-            asked = probe.select("key").distinct()
-            ends = history.join(asked.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-            near = near.unionByName(probe.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("other")))
+    def _beside(self, exact: DataFrame, entries: DataFrame) -> DataFrame:
+        """(node, other) within a batch: each row and the first of its ident, and all entries under one key."""
+        copies = exact.select("node", F.min("node").over(Window.partitionBy("key", "ident")).alias("other")).filter("other < node")
+        under = entries.join(entries.select("key", F.col("node").alias("other")), "key").filter("other < node")
+        return copies.unionByName(under.select("node", "other"))
+
+    def _links(self, new: DataFrame, near: DataFrame, batch: int, fit: bool) -> DataFrame:
         pairs = near.distinct()
         side = lambda df, name: df.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("hash", "hex", "rolls")])
         both = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).join(side(new, "a"), "a").join(side(self.rows(), "b"), "b")
@@ -190,7 +197,7 @@ class MatchHistory:
         possible = both.withColumn("relation", relation).filter((F.col("relation") == "agree") | lengths)
         compared = self.scratch.save(possible.select("a", "b", "relation", "rolls_a", "rolls_b").mapInPandas(_compare, "a long, b long, relation string, share double"), f"compared/{batch}")
         tenth = F.when(F.col("share").isNull(), -1).otherwise(F.floor(F.col("share") * 10 + 1e-9)).cast("int")
-        if self.weights is None and history is not None:
+        if self.weights is None and fit:
             counted = compared.groupBy("relation", tenth.alias("tenth")).count().collect()  # at most 3 x 12 patterns
             self.weights = fit_weights({(r["relation"], r["tenth"]): r["count"] for r in counted}) if counted else None
         weight = F.lit(0.0)

@@ -324,6 +324,16 @@ def test_history_against_brute_force(spark):
     assert got == want
 
 
+def test_hashes_that_start_alike_hide_no_repeat(spark):
+    """Two matches whose hashes start alike: every later row of either is found, in whatever batch and beside whatever row it comes."""
+    a, b, c = ("0123456789abcdef" + x * 48 for x in "abc")
+    metas = [(1, 3, "B1", b, None), (2, 5, "A2", a, None), (3, 6, "C1", c, None), (4, 6, "B2", b, None), (5, 9, "B3", b, None), (6, 9, "C2", c, None), (7, 9, "A3", a, None)]
+    hashes = spark.createDataFrame([("A1", a, None, None)], "id string, content_hash string, rolls string, accepted_at timestamp")
+    rows = spark.createDataFrame(metas, "row_id long, batch_no int, id string, content_hash string, rolls string")
+    got = {r.row_id: r.first_id for r in incremental.repeated_matches(spark, hashes, rows).collect()}
+    assert got == {2: "A1", 4: "B1", 5: "B1", 6: "C1", 7: "A1"}
+
+
 def test_weights_tell_matches_from_others():
     weights = incremental.fit_weights({("agree", 10): 50, ("differ", 9): 20, ("differ", 3): 400, ("unknown", -1): 5})
     assert weights["relation"]["agree"] > 0 and weights["tenth"][3] < 0
