@@ -187,7 +187,7 @@ def orphan_reviews(spark, folder):
 
 
 def unioned_versions(spark, folder):
-    """Catalog rows of two versions, the older one without rounds and submitters."""
+    """Dated catalog rows of two versions, the older one without rounds and submitters. Rows without a year are of neither version, as in the SQL."""
     rows = _catalog(spark, folder).select("row_id", "p0", "p1", "event", "round", "by_login", "year")
     old = rows.filter("year < 2010").drop("round", "by_login")
     return old.unionByName(rows.filter("year >= 2010"), allowMissingColumns=True).select("row_id", "p0", "p1", "event", "round", "by_login", "year")
