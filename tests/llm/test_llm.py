@@ -335,9 +335,41 @@ def test_hashes_that_start_alike_hide_no_repeat(spark):
 
 
 def test_weights_tell_matches_from_others():
-    weights = incremental.fit_weights({("agree", 10): 50, ("differ", 9): 20, ("differ", 3): 400, ("unknown", -1): 5})
-    assert weights["relation"]["agree"] > 0 and weights["tenth"][3] < 0
-    assert incremental.fit_weights({})["relation"]
+    apart = incremental.chance(1000, 950, 990)
+    weights, least = incremental.fit_weights({("agree", 10): 50, ("differ", 9): 20, ("differ", 0): 400, ("unknown", -1): 5}, apart)
+    assert weights["relation"]["agree"] > 0 and weights["tenth"][9] > 0 > weights["tenth"][0]
+    assert least <= weights["relation"]["differ"] + weights["tenth"][9]
+    assert incremental.fit_weights({}, incremental.chance(0, 0, 0))[0]["relation"]
+
+
+def _roll(rng):
+    return "".join(sorted(rng.choices("123456", k=2), reverse=True))
+
+
+def test_edited_sequences_share_a_run():
+    """Any two sequences that differ by a tenth of the rolls, each replaced or left out, share a key no further apart than that."""
+    rng = random.Random(5)
+    for _ in range(600):
+        a = [_roll(rng) for _ in range(rng.randint(10, 110))]
+        edits = set(rng.sample(range(len(a)), len(a) // 10))
+        b = [r for k, r in enumerate(a) if k not in edits] if rng.random() < 0.5 else [r if k not in edits else "70" for k, r in enumerate(a)]
+        owner, keys, at = incremental.run_keys([" ".join(a), " ".join(b)])
+        mine = {(k, p) for o, k, p in zip(owner, keys, at, strict=True) if o == 0}
+        theirs = {(k, p) for o, k, p in zip(owner, keys, at, strict=True) if o == 1}
+        assert any(k == other and abs(p - q) <= len(edits) for k, p in mine for other, q in theirs), (len(a), sorted(edits))
+
+
+def test_a_batch_reads_only_what_it_can_meet(spark):
+    rng = random.Random(6)
+    old = [(f"1/{rng.getrandbits(64):016x}", f"{rng.getrandbits(256):064x}", " ".join(_roll(rng) for _ in range(40)), None) for _ in range(3000)]
+    hashes = spark.createDataFrame(old, "id string, content_hash string, rolls string, accepted_at timestamp").cache()
+    history = incremental.MatchHistory(spark, keys_per_part=500, row_bits=7)
+    history.accept(incremental.prepared(hashes, 0, F.lit(0)), 0)
+    rows = [(1, "x", old[5][1], None), (2, "y", None, old[7][2])]
+    metas = spark.createDataFrame(rows, "row_id long, id string, content_hash string, rolls string")
+    links = history.accept(incremental.prepared(metas, 1, F.col("row_id")), 1)
+    assert links.count() == 2
+    assert history.parts > 100 and history.read[1]["key_parts"] <= 30 and history.read[1]["row_parts"] <= 2
 
 
 # Tokens, packing, mixing
