@@ -1,20 +1,26 @@
 """Size-tiered compaction of small files into containers, with a journal of transactions.
 
 A store is a folder of containers, each one Parquet file holding whole stored files as rows (path, bytes, sha256,
-content), and a journal. Compaction works level by level: units (single files at level 0, containers above) are put
-into tiers by size, factor `FAN_IN` between tiers, and a tier with at least two units is merged into fewer containers of
-the next size, up to `target` bytes. One level is one transaction: its inputs and outputs are written to the journal,
-then a commit marker. A transaction's id is a digest of its level and inputs, so a repeated or interrupted run finds the
-committed ones, redoes the rest under the same names and never doubles a record. Containers that were merged further are
-removed only after the transaction that replaced them is committed; a reader follows the journal, not the folder: a
-container that is an input of a committed transaction is not read, whether its data are still there or not.
-
-Tier statistics (at most 64 rows) are all that reaches the driver. Files go to containers by a hash of their path, so a
-pass is one shuffle of the data it merges and no running total over all files is needed.
+content), and a journal. Level 0 puts new files into containers; each further level merges containers of similar size.
+Units (files at level 0, containers above) are put into tiers by size, a factor of `FACTOR` apart, and the units of a
+tier are laid one after another into containers of at most `target` bytes and `fan_in` units. A container of half the
+target or more is full and is never read again by a merge; a tier of fewer than `LEAST` containers waits. So a batch of
+small files rewrites the small containers it can join and nothing else, and what is written stays small: each record
+moves at most once per tier.
+
+One level is one transaction: its inputs and outputs are written to the journal, then a commit marker, then a new head
+that lists the transactions in force. Heads are numbered and never written over, so a crash between two steps leaves the
+head before. A transaction's id is a digest of its level and inputs, so a repeated or interrupted run finds the committed
+ones, redoes the rest under the same names and never doubles a record. A file that comes again with other content takes
+the place of the one held: its old row is listed in the journal as replaced, is not read any more, and is left out when
+its container is merged. A reader follows the journal, not the folder.
+
+Statistics per tier (at most 64 rows) are all that reaches the driver. Files are laid out in groups of about `GROUP`
+containers, so a pass is one shuffle of the data it merges and no running total goes over all files.
 
 Defined cases: the same file seen twice, also under another way of writing its path, is stored once (the sighting with
 the latest modified_at, then the highest file_no); empty files are stored with 0 bytes; a null path is no file; null
-content counts as empty; an empty table gives an empty store.
+content counts as empty; an empty table gives an empty store; a file above the target has a container of its own.
 """
 
 from __future__ import annotations
@@ -23,14 +29,21 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pipworks.storage import delete, exists, read_text, write_text
+from pipworks.storage import delete, exists, names, read_text, write_text
 
 MB = 1 << 20
 TARGET = 128 * MB
+#: Units in a container at most.
 FAN_IN = 1024
+#: Ratio of sizes within a tier.
+FACTOR = 8
+#: Containers of a tier from which on they are merged.
+LEAST = 4
+#: Containers laid out by one task.
+GROUP = 16
 STORED = ["path", "file_no", "bytes", "sha256", "content"]
 
 
@@ -51,16 +64,24 @@ def stored_files(files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tier:
+    """Units of similar size, and how they are laid into containers."""
+
     tier: int
     units: int
+    files: int
     bytes: int
+    largest: int
     target: int
     fan_in: int
 
     @property
-    def containers(self) -> int:
-        """Outputs of the tier: as few as the target allows, and none that takes more than about fan_in units."""
-        return max(1, -(-self.bytes // self.target), -(-self.units // self.fan_in))
+    def room(self) -> int:
+        """Bytes after which a container is closed, so that the unit that crosses it still fits."""
+        return max(1, self.target - self.largest)
+
+    @property
+    def groups(self) -> int:
+        return max(1, -(-self.bytes // (GROUP * self.room)), -(-self.units // (GROUP * self.fan_in)))
 
 
 class CompactionStore:
@@ -77,13 +98,20 @@ class CompactionStore:
     def committed(self, txn: str) -> dict | None:
         return json.loads(read_text(self.spark, self._marker(txn))) if exists(self.spark, self._marker(txn)) else None
 
+    def _heads(self) -> list[str]:
+        return sorted(n for n in names(self.spark, f"{self.root}/journal/heads") if n.endswith(".json"))
+
     def _head(self) -> list[str]:
-        """Committed transactions, in order."""
-        path = f"{self.root}/journal/head.json"
-        return json.loads(read_text(self.spark, path)) if exists(self.spark, path) else []
+        """Transactions in force, in order: those of the highest head."""
+        heads = self._heads()
+        return json.loads(read_text(self.spark, f"{self.root}/journal/heads/{heads[-1]}")) if heads else []
 
     def _set_head(self, txns: list[str]) -> None:
-        write_text(self.spark, f"{self.root}/journal/head.json", json.dumps(txns))
+        heads = self._heads()
+        number = int(heads[-1].split(".")[0]) + 1 if heads else 1
+        write_text(self.spark, f"{self.root}/journal/heads/{number:010d}.json", json.dumps(txns))
+        for old in heads[:-1]:  # the one before stays for readers that have just seen it
+            delete(self.spark, f"{self.root}/journal/heads/{old}")
 
     def journal(self, txn: str, side: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/journal/{txn}/{side}")
@@ -96,15 +124,29 @@ class CompactionStore:
         read = self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{txn}").parquet(f"{self.root}/data/{txn}")
         return read.withColumn("unit", F.concat(F.lit(txn + "/"), F.col("container")))
 
+    def replaced(self) -> DataFrame | None:
+        """(unit, path, bytes) of stored files whose place was taken by a later one; None if there are none."""
+        found = None
+        for txn in self._head():
+            if (self.committed(txn) or {}).get("replaced"):
+                rows = self.journal(txn, "replaced")
+                found = rows if found is None else found.unionByName(rows)
+        return found
+
     def containers(self) -> DataFrame:
-        """Current containers: unit (transaction/name), level, files and bytes: all outputs in the journal that no later transaction took in."""
+        """Current containers: unit (transaction/name), level, files and bytes that count: all outputs in the journal that no later transaction took in, without replaced files."""
         out = self.spark.createDataFrame([], "unit string, level int, files long, bytes long")
         taken = self.spark.createDataFrame([], "unit string")
         for txn in self._head():
             out = out.unionByName(self.journal(txn, "outputs"))
             if not txn.startswith("l0-"):
                 taken = taken.unionByName(self.journal(txn, "inputs").select("unit"))
-        return out.join(taken, "unit", "left_anti")
+        current, gone = out.join(taken, "unit", "left_anti"), self.replaced()
+        if gone is None:
+            return current
+        lost = gone.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+        less = lambda have, gone: (F.col(have) - F.coalesce(gone, F.lit(0))).alias(have)
+        return current.join(lost, "unit", "left").select("unit", "level", less("files", "n"), less("bytes", "b"))
 
     def files(self) -> DataFrame:
         """All stored files, each once, with the container (`unit`) that holds them."""
@@ -112,44 +154,65 @@ class CompactionStore:
         for txn in self._head():
             if exists(self.spark, f"{self.root}/data/{txn}"):  # else all of it was taken in
                 out = out.unionByName(self._data(txn).drop("container"))
-        return out.join(self.containers().select("unit"), "unit", "left_semi")
+        live, gone = out.join(self.containers().select("unit"), "unit", "left_semi"), self.replaced()
+        return live if gone is None else live.join(gone.select("unit", "path"), ["unit", "path"], "left_anti")
 
     # Writing
 
     def _tier(self) -> Column:
-        return F.greatest(F.lit(0), F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1))) / F.log(F.lit(float(self.fan_in))))).cast("int")
+        return F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1))) / F.log(F.lit(float(FACTOR))) + 1e-9).cast("int")
+
+    def _lot(self, tiers: dict[int, Tier]) -> Column:
+        """Container of a unit: units of a group are laid one after another, and a container is closed when its bytes or its units are full."""
+        of = lambda value: F.element_at(F.create_map(*[F.lit(x) for t in tiers.values() for x in (t.tier, value(t))]), F.col("tier"))
+        before = Window.partitionBy("tier", "group").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+        laid = F.coalesce(F.sum("bytes").over(before), F.lit(0)) / of(lambda t: t.room) + F.count("unit").over(before) / F.lit(self.fan_in)
+        return F.format_string("t%02d-%06d-%04d", F.col("tier"), F.col("group"), F.floor(laid).cast("int"))
 
-    def _merge(self, level: int, files: DataFrame, units: DataFrame) -> str | None:
-        """One transaction: moves the `files` of every tier of `units` (unit, bytes) that gets fewer into new containers. None if no tier does.
+    def _merge(self, level: int, files: DataFrame, units: DataFrame, replaced: DataFrame | None = None) -> str | None:
+        """One transaction: moves the `files` of the tiers of `units` (unit, files, bytes) into new containers. None if there is nothing to do.
 
         At level 0 the units are the files themselves and all of them are stored, also those of a tier that can't be merged.
         """
         sized = units.withColumn("tier", self._tier())
-        rows = sized.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.sum(F.xxhash64("unit", "bytes").cast("decimal(38,0)")).alias("digest")).collect()
-        tiers = {r["tier"]: Tier(r["tier"], r["n"], int(r["b"] or 0), self.target, self.fan_in) for r in rows}
-        tiers = {k: t for k, t in tiers.items() if level == 0 or t.containers < t.units}
+        if level:
+            sized = sized.filter(2 * F.col("bytes") < self.target)
+        rows = sized.groupBy("tier").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("files").alias("f"), F.sum("bytes").alias("b"), F.max("bytes").alias("largest"),
+            F.sum(F.xxhash64("unit", "bytes", "mark").cast("decimal(38,0)")).alias("digest"),
+        ).collect()
+        tiers = {r["tier"]: Tier(r["tier"], r["n"], r["f"], int(r["b"] or 0), int(r["largest"] or 0), self.target, self.fan_in) for r in rows}
+        tiers = {k: t for k, t in tiers.items() if level == 0 or t.units >= LEAST}
         if not tiers:
             return None
-        state = json.dumps([level, self.target, self.fan_in, sorted((r["tier"], r["n"], int(r["b"] or 0), str(r["digest"])) for r in rows)])
+        state = json.dumps([level, self.target, self.fan_in, sorted((r["tier"], r["n"], int(r["b"] or 0), str(r["digest"])) for r in rows if r["tier"] in tiers)])
         txn = f"l{level}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
         if self.committed(txn):
             return txn
-        chosen = sized.filter(F.col("tier").isin(*tiers))
-        outputs = F.create_map(*[F.lit(x) for t in tiers.values() for x in (t.tier, t.containers)])
-        placed = files.withColumn("tier", self._tier()) if level == 0 else files.join(chosen.select("unit", "tier"), "unit")
-        lot = F.pmod(F.xxhash64("unit"), F.element_at(outputs, F.col("tier")).cast("long"))
-        placed = placed.select(*STORED, F.format_string("t%02d-%06d", F.col("tier"), lot).alias("container"))
+        groups = F.element_at(F.create_map(*[F.lit(x) for t in tiers.values() for x in (t.tier, t.groups)]), F.col("tier"))
+        in_group = F.pmod(F.xxhash64("unit"), groups.cast("long")).cast("int")
         delete(self.spark, f"{self.root}/data/{txn}")  # what an interrupted attempt left
-        count = sum(t.containers for t in tiers.values())
-        placed.repartition(max(1, min(count, 20_000)), "container").write.partitionBy("container").parquet(f"{self.root}/data/{txn}")
+        chosen = sized.filter(F.col("tier").isin(*tiers)).withColumn("group", in_group)
+        if level == 0:  # laid out where they are written: one shuffle
+            tasks = sum(t.groups for t in tiers.values())
+            laid = files.withColumn("tier", self._tier()).withColumn("group", in_group).repartition(tasks, "tier", "group")
+            placed = laid.select(*STORED, self._lot(tiers).alias("container"))
+        else:
+            placed = files.join(chosen.select("unit", self._lot(tiers).alias("container")), "unit").select(*STORED, "container")
+            placed = placed.repartition(sum(t.groups for t in tiers.values()) * GROUP if sum(t.bytes for t in tiers.values()) > self.target else len(tiers), "container")
+        placed.write.partitionBy("container").parquet(f"{self.root}/data/{txn}")
         made = self._data(txn).groupBy("unit").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
-        made.select("unit", F.lit(level).alias("level"), "files", "bytes").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/journal/{txn}/outputs")
+        made.select("unit", F.lit(level).alias("level"), "files", "bytes").write.mode("overwrite").parquet(f"{self.root}/journal/{txn}/outputs")
         chosen.select("unit", "bytes").write.mode("overwrite").parquet(f"{self.root}/journal/{txn}/inputs")
+        gone = 0
+        if replaced is not None:
+            replaced.write.mode("overwrite").parquet(f"{self.root}/journal/{txn}/replaced")
+            gone = self.journal(txn, "replaced").count()
         total = self.journal(txn, "outputs").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("containers")).first()
-        expected = sum(t.bytes for t in tiers.values())
-        if int(total["bytes"] or 0) != expected:
-            raise RuntimeError(f"transaction {txn} wrote {total['bytes']} bytes of {expected}")
-        write_text(self.spark, self._marker(txn), json.dumps({"level": level, "files": total["files"], "bytes": expected, "containers": total["containers"]}))
+        expected = sum(t.files for t in tiers.values()), sum(t.bytes for t in tiers.values())
+        if (int(total["files"] or 0), int(total["bytes"] or 0)) != expected:
+            raise RuntimeError(f"transaction {txn} wrote {total['files']} files and {total['bytes']} bytes of {expected}")
+        write_text(self.spark, self._marker(txn), json.dumps({"level": level, "files": expected[0], "bytes": expected[1], "containers": total["containers"], "replaced": gone}))
         return txn
 
     def _tidy(self) -> None:
@@ -160,18 +223,20 @@ class CompactionStore:
                 delete(self.spark, f"{self.root}/data/{txn}")
 
     def compact(self, incoming: DataFrame) -> list[str]:
-        """Stores those of `incoming` (the columns of STORED, each path once) that are not held yet and merges until no tier can be merged further. Returns the transactions committed now, in order."""
+        """Stores those of `incoming` (the columns of STORED, each path once) that are not held yet, in place of an older content if there is one, and merges until no tier can be merged further. Returns the transactions committed now, in order."""
         held = self._head()
+        files, replaced = incoming.withColumn("unit", F.col("path")), None
         if held:
-            incoming = incoming.join(self.files().select("path"), "path", "left_anti")
+            have = self.files().select("path", F.col("sha256").alias("had"), F.col("unit").alias("old"), F.col("bytes").alias("old_bytes"))
+            files = files.join(have, "path", "left").filter(~F.col("had").eqNullSafe(F.col("sha256")))
+            replaced = files.filter("had is not null").select(F.col("old").alias("unit"), "path", F.col("old_bytes").alias("bytes"))
         done: list[str] = []
         level = 0
         while True:
             if level == 0:
-                files = incoming.withColumn("unit", F.col("path"))
-                txn = self._merge(0, files, files.select("unit", "bytes"))
+                txn = self._merge(0, files.select("unit", *STORED), files.select("unit", F.lit(1).alias("files"), "bytes", F.col("sha256").alias("mark")), replaced)
             else:
-                txn = self._merge(level, self.files(), self.containers().select("unit", "bytes"))
+                txn = self._merge(level, self.files(), self.containers().select("unit", "files", "bytes", F.lit("").alias("mark")))
             if txn is None and level > 0:
                 return done
             if txn is not None and txn not in held:

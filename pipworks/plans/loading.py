@@ -35,8 +35,9 @@ def p6_compacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """The containers made of match_files: files and bytes of each."""
-    return _store(spark, folder).containers()
+    """What the containers made of match_files hold together: files, bytes, and how many are above the target size."""
+    store = _store(spark, folder)
+    return store.containers().agg(F.sum("files").alias("files"), F.sum("bytes").cast("long").alias("bytes"), F.count_if(F.col("bytes") > store.target).alias("above_target"))
 
 
 def p6_issues(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +80,9 @@ ORACLE = {
     "p6_compacted": f"""SELECT path, file_no, bytes, sha256 FROM (
       SELECT {_plain("path")} AS path, file_no, strlen(coalesce(content, '')) AS bytes, sha256(coalesce(content, '')) AS sha256,
         row_number() OVER (PARTITION BY {_plain("path")} ORDER BY modified_at DESC NULLS LAST, file_no DESC) AS rn FROM match_files WHERE path IS NOT NULL) WHERE rn = 1""",
+    "p6_containers": f"""SELECT cast(count(*) AS BIGINT) AS files, cast(sum(bytes) AS BIGINT) AS bytes, cast(0 AS BIGINT) AS above_target FROM (SELECT path, file_no, bytes, sha256 FROM (
+      SELECT {_plain("path")} AS path, file_no, strlen(coalesce(content, '')) AS bytes, sha256(coalesce(content, '')) AS sha256,
+        row_number() OVER (PARTITION BY {_plain("path")} ORDER BY modified_at DESC NULLS LAST, file_no DESC) AS rn FROM match_files WHERE path IS NOT NULL) WHERE rn = 1)""",
     "p6_issues": f"""WITH listed AS (SELECT {_plain("path")} AS path, count(*) AS n FROM (SELECT mat AS path FROM match_paths UNION ALL SELECT meta FROM match_paths) WHERE path IS NOT NULL GROUP BY 1),
       seen AS (SELECT {_plain("path")} AS path, count(*) AS m, max(strlen(coalesce(content, ''))) AS b FROM match_files WHERE path IS NOT NULL GROUP BY 1),
       pair AS (SELECT coalesce(l.path, s.path) AS path, n, m, b FROM listed l FULL JOIN seen s ON l.path = s.path)

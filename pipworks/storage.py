@@ -68,8 +68,15 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if there is no such folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file under another name first and then renames it, so that no reader sees half of it."""
+    """Writes a small file that isn't there yet: under another name first, then renamed, so that no reader sees half of it and nothing is ever removed."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -80,5 +87,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    if fs.exists(target) or not fs.rename(part, target):
+        fs.delete(part, False)
+        raise FileExistsError(path)

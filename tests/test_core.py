@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pipworks.functions.query import current_token, iso_date, number_range, parse, predicate, to_text
@@ -10,7 +11,7 @@ from pipworks.operators.ranking import global_rank
 from pipworks.operators.sketches import bloom_filter, bloom_might_contain
 from pipworks.operators.transcripts import summaries
 from pipworks.sources.reject_loader import SHEET_COLUMNS, accepted, load_lines, refused
-from pipworks.storage import Scratch, exists, shared_root
+from pipworks.storage import Scratch, exists, shared_root, write_text
 from pipworks.streaming.inbox import ingest
 
 
@@ -53,9 +54,41 @@ def test_compaction_keeps_each_file_once(spark, tmp_path):
     assert held["data/3.mat"] == "new" and held["data/4.mat"] == "y" and held["data/null"] == ""
     assert store.containers().count() < 40
     assert store.compact(once) == []
-    more = stored_files(_files(spark, [("later/1", "a"), ("data/1.mat", "b")]))
+    more = stored_files(_files(spark, [("later/1", "a"), ("data/1.mat", "b"), ("data/2.mat", "xx")]))
     store.compact(more)
-    assert store.files().count() == 402 and store.files().filter("path = 'data/1.mat'").first().content == "x"
+    held = {r.path: r.content for r in store.files().collect()}
+    assert store.files().count() == len(held) == 402 and held["data/1.mat"] == "b" and held["data/2.mat"] == "xx"
+    assert store.containers().agg(F.sum("files")).first()[0] == 402
+    for k in range(4):  # merging drops what was replaced
+        store.compact(stored_files(_files(spark, [(f"more/{k}/{j}", "y" * 90) for j in range(3)] + [("data/1.mat", f"c{k}")])))
+    held = {r.path: r.content for r in store.files().collect()}
+    assert store.files().count() == len(held) == 414 and held["data/1.mat"] == "c3"
+
+
+def test_small_batches_leave_full_containers_alone(spark, tmp_path):
+    store = CompactionStore(spark, f"file://{tmp_path}/full", target=4_000, fan_in=16)
+    store.compact(stored_files(_files(spark, [(f"f{k}", "x" * 500) for k in range(200)])))
+    sizes = [r.bytes for r in store.containers().collect()]
+    assert max(sizes) <= 4_000 and len(sizes) <= 50
+    full = {r.unit for r in store.containers().filter("bytes >= 2000").collect()}
+    assert len(full) > 20
+    store.compact(stored_files(_files(spark, [(f"g{k}", "y" * 500) for k in range(4)])))
+    assert full <= {r.unit for r in store.containers().collect()} and store.files().count() == 204
+
+
+def test_a_crash_between_two_steps_loses_nothing(spark, tmp_path, monkeypatch):
+    store = CompactionStore(spark, f"file://{tmp_path}/crash", fan_in=8)
+    store.compact(stored_files(_files(spark, [(f"f{k}", "x" * 50) for k in range(20)])))
+    real = CompactionStore._set_head
+    monkeypatch.setattr(CompactionStore, "_set_head", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.compact(stored_files(_files(spark, [("g", "new")])))
+    monkeypatch.setattr(CompactionStore, "_set_head", real)
+    assert store.files().count() == 20
+    store.compact(stored_files(_files(spark, [("g", "new")])))
+    assert store.files().count() == 21
+    with pytest.raises(FileExistsError):
+        write_text(spark, f"file://{tmp_path}/crash/journal/heads/{store._heads()[-1]}", "[]")
 
 
 def test_compaction_survives_an_interruption(spark, tmp_path, monkeypatch):
