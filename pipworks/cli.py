@@ -19,7 +19,7 @@ def _parser() -> argparse.ArgumentParser:
         ("ingest", "store the new matches of an inbox", ["inbox", "store", "checkpoint"]),
         ("reconcile", "transcripts below a folder that are of one match", ["folder"]),
         ("compact", "consolidate a table of small files (path, file_no, content, modified_at)", ["files", "store"]),
-        ("hide-names", "replace names in a catalog by pseudonyms", ["catalog", "key", "out"]),
+        ("hide-names", "replace names in a catalog by pseudonyms", ["catalog", "key", "domain", "out"]),
     ):
         one = commands.add_parser(name, help=about)
         for a in args:
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
         from pipworks.functions.pseudonyms import hide_names
 
         rows = spark.read.parquet(args.catalog)
-        hide_names(rows, bytes.fromhex(args.key), ["p0", "p1"], [c for c in ("event", "round", "n0", "n1", "hay") if c in rows.columns]).write.parquet(args.out)
+        hide_names(rows, bytes.fromhex(args.key), ["p0", "p1"], [c for c in ("event", "round", "n0", "n1", "hay") if c in rows.columns], args.domain).write.parquet(args.out)
     return 0
 
 

@@ -154,21 +154,30 @@ class _Game:
             if how == "bearOff" and length == 0 and self.match["rules"].get("jacoby") and self.cube == 1 and self.owner is None:
                 size = 1
             points = self.cube * size
+            last = next((x for x in reversed(self.game["actions"]) if x["kind"] == "move"), None)
+            if declared and declared["winner"] != winner and how == "bearOff" and last and declared.get("line") is not None and declared["line"] == last.get("line"):
+                self.say("info", "V-RESULT", "the result stands in the free cell beside the last play")
+                declared["winner"] = winner
             stated = declared["points"] if declared else None
             if declared and declared["winner"] != winner:
-                self.say("error", "V-RESULT", "the result names the other side")
+                self.say("error", "V-SCORE", "the result names the other side")
             elif stated is not None and stated != points:
-                if stated == min(points, _needs(length, score, winner)):  # some sites write what the match still needed
-                    points = stated
+                if length and _needs(length, score, winner) <= stated < points:  # some sites write what the match still needed
+                    self.say("info", "V-SCORE", f"{stated} points stated, as many as the match needed; {points} played for")
                 else:
                     self.say("error", "V-SCORE", f"{stated} points stated, {points} played for")
         elif declared:
             winner, how, points = declared["winner"], "resign", declared["points"]
-            size, over = divmod(points, self.cube)
-            if (over or size > 3) and points != _needs(length, score, winner):
+            needs = _needs(length, score, winner)
+            if points > 3 * self.cube:  # more than a backgammon: a mark of the site, or what it capped
+                points = min(needs, 3 * self.cube)
+                if points == needs:
+                    self.say("info", "V-RESULT", f"{declared['points']} points stated, {points} needed")
+                else:
+                    self.say("warning", "V-SCORE", f"{declared['points']} points stated with the cube at {self.cube}")
+            elif points % self.cube and points != needs:
                 self.say("warning", "V-SCORE", f"{points} points with the cube at {self.cube}")
-                points = min(points, 3 * self.cube, _needs(length, score, winner))
-            size = min(max(size, 1), 3)
+            size = min(max(points // self.cube, 1), 3)
             self.say("info", "V-RESULT", "the game ended by resignation")
         elif following is not None and sum(n > o for n, o in zip(following, score, strict=True)) == 1:
             winner = next(s for s in (0, 1) if following[s] > score[s])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipworks.kernels import analysis, sgf
+from pipworks.kernels import analysis, sgf, xg
 from pipworks.kernels.analysis import EquityTable
 from pipworks.kernels.file_names import propose
 from pipworks.kernels.identity import content_hash, roll_tokens
@@ -31,14 +31,17 @@ SUMMARY = f"path string, format string, dialect string, p0 string, p1 string, ma
 ACTIONS = "path string, game int, at int, side int, kind string, dice string, cube int, xgid string, gnubg_id string"
 
 
+def parsed(data: bytes, kind: str, text: str) -> dict:
+    """The match of a file as it is written, not validated."""
+    return xg.parse(data) if kind == "xg" else sgf.parse(text) if kind == "sgf" else parse(text)
+
+
 def read_bytes(data: bytes, salvaged: bool = False) -> tuple[dict | None, str, list[dict]]:
     """Match, format and diagnostics of one file."""
     kind = kind_of(data)
-    if kind == "xg":
-        return None, kind, [diagnostic("error", "V-FORMAT", "binary files of this kind are not read")]
-    text, encoding = decode(data)
+    text, encoding = ("", "utf-8") if kind == "xg" else decode(data)
     try:
-        match, found = (salvage if salvaged else validate)(sgf.parse(text) if kind == "sgf" else parse(text))
+        match, found = (salvage if salvaged else validate)(parsed(data, kind, text))
     except (FormatError, ValueError, KeyError, IndexError) as e:
         return None, kind, [diagnostic("error", "V-FORMAT", str(e)[:200])]
     if not encoding.startswith("utf"):
@@ -104,6 +107,40 @@ def actions(files: DataFrame) -> DataFrame:
     return _run(files, ACTIONS, rows)
 
 
+def scan(files: DataFrame) -> DataFrame:
+    """(path, p0, p1, match_length, date, event, games, starts, points, rolls): files parsed without replaying them.
+
+    Points are those stated at the end of a game, 0 where none are; rolls are those of all plays, in order. A file that can't be parsed gives no row.
+    """
+    schema = "path string, p0 string, p1 string, match_length int, date string, event string, games int, starts array<string>, points array<int>, rolls string"
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        kind = kind_of(data)
+        try:
+            m = parsed(data, kind, "" if kind == "xg" else decode(data)[0])
+        except (FormatError, ValueError, KeyError, IndexError):
+            return []
+        games = m["games"]
+        rolls = " ".join(f"{a['dice'][0]}{a['dice'][1]}" for g in games for a in g["actions"] if a["kind"] == "move")
+        stated = [(g["declared"] or {"points": 0})["points"] for g in games]
+        return [(path, *(s["name"] for s in m["sides"]), m["match_length"], m["date"], m["event"], len(games), ["-".join(map(str, g["start"])) for g in games], stated, rolls)]
+
+    return _run(files, schema, rows)
+
+
+def written(files: DataFrame) -> DataFrame:
+    """(path, text) of every file that can be parsed, in the normal layout, whether its plays are legal or not."""
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        kind = kind_of(data)
+        try:
+            return [(path, write(parsed(data, kind, "" if kind == "xg" else decode(data)[0])))]
+        except (FormatError, ValueError, KeyError, IndexError):
+            return []
+
+    return _run(files, "path string, text string", rows)
+
+
 def tokens(files: DataFrame) -> DataFrame:
     """(path, tokens): what was rolled and doubled in every game, for comparing transcripts."""
     return _run(files, "path string, tokens array<array<string>>", lambda path, data: [(path, roll_tokens(m))] if (m := read_bytes(data)[0]) else [])

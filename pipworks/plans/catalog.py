@@ -187,9 +187,9 @@ def orphan_reviews(spark, folder):
 
 
 def unioned_versions(spark, folder):
-    """Dated catalog rows of two versions, the older one without rounds and submitters. Rows without a year are of neither version, as in the SQL."""
+    """Catalog rows of two versions, the older one without rounds and submitters. Rows without a year are of the older version."""
     rows = _catalog(spark, folder).select("row_id", "p0", "p1", "event", "round", "by_login", "year")
-    old = rows.filter("year < 2010").drop("round", "by_login")
+    old = rows.filter("year < 2010 or year is null").drop("round", "by_login")
     return old.unionByName(rows.filter("year >= 2010"), allowMissingColumns=True).select("row_id", "p0", "p1", "event", "round", "by_login", "year")
 
 
@@ -368,7 +368,7 @@ ORACLE = SEARCH_SQL | {
     "corrected_inbox": f"""WITH {_OVERLAY} SELECT item_id, i.file, CASE WHEN has_event THEN f.event ELSE i.event END AS event, CASE WHEN has_round THEN f.round ELSE i.round END AS round, CASE WHEN has_date THEN f.date ELSE i.date END AS date,
       try_cast(substr(CASE WHEN has_date THEN f.date ELSE i.date END, 1, 4) AS INT) AS year FROM inbox_items i LEFT JOIN fix f ON f.file = i.file""",
     "orphan_reviews": "SELECT DISTINCT file FROM meta_review m WHERE file IS NOT NULL AND NOT EXISTS (SELECT 1 FROM inbox_items i WHERE i.file = m.file)",
-    "unioned_versions": "SELECT row_id, p0, p1, event, CASE WHEN year >= 2010 THEN round END AS round, CASE WHEN year >= 2010 THEN by_login END AS by_login, year FROM match_catalog WHERE year IS NOT NULL",
+    "unioned_versions": "SELECT row_id, p0, p1, event, CASE WHEN year >= 2010 THEN round END AS round, CASE WHEN year >= 2010 THEN by_login END AS by_login, year FROM match_catalog",
     "remark_changes": "SELECT DISTINCT row_id, unnest(remarks) AS remark FROM (SELECT row_id, list_filter(coalesce(remarks, []), lambda x: NOT list_contains(before, x)) AS remarks FROM (SELECT row_id, remarks, lag(coalesce(remarks, [])) OVER (PARTITION BY id ORDER BY row_id) AS before FROM match_records) WHERE before IS NOT NULL)",
     "running_score": f"""WITH {_SCORE} SELECT row_id, "at", after0 - q0 AS s0, after1 - q1 AS s1, after0, after1 FROM score""",
     "crawford_games": f"""WITH {_SCORE} SELECT row_id, min("at") AS "at" FROM score WHERE match_length > 1 AND ((match_length - (after0 - q0) = 1) <> (match_length - (after1 - q1) = 1)) GROUP BY row_id""",

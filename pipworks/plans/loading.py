@@ -14,7 +14,10 @@ from pipworks.storage import shared_root
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """line_id and reason of every line of sheet_lines that is refused."""
+    """line_id and reason of every line of sheet_lines that is refused.
+
+    Broken quoting is told by a pattern over the whole vector before the CSV reader, which accepts it silently; wrong cell counts come from the reader's callback, the other reasons from the cells.
+    """
     return refused(load_lines(table(spark, folder, "sheet_lines")))
 
 

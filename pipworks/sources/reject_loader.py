@@ -36,14 +36,20 @@ _CELL = '(?:"(?:[^"]|"")*"|[^"\t][^\t]*)?'
 _WELL_QUOTED = f"^{_CELL}(?:\t{_CELL})*$"
 # White space as in the ECMAScript class \s, without the line ends' special role.
 _SPACE = "[\\x{0009}-\\x{000D}\\x{0020}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
-# Line ends inside a line are carried through the CSV reader as private-use characters.
-_HIDDEN = [("\r", ""), ("\n", "")]
+# Line ends inside a line are carried through the CSV reader as private-use characters that the lines do not have.
+_HIDDEN = "\r\n"
 _DATE = "^[0-9]{4}(?:-(?:0[1-9]|1[0-2])(?:-(?:0[1-9]|[12][0-9]|3[01]))?)?$"
 _MONTH_DAYS = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])
 
 OUT_SCHEMA = ", ".join(["line_id long", "sheet string", "line_no int", "reason string", *(f"`{c}` string" for c in SHEET_COLUMNS)])
 
 
+def _hiding(lines: pa.Array) -> list[tuple[str, str]]:
+    """A private-use character for each line end; none that occurs in `lines`."""
+    free = (c for c in map(chr, range(0xE000, 0xF900)) if not pc.any(pc.match_substring(lines, c)).as_py())
+    return [(end, next(free)) for end in _HIDDEN]
+
+
 def _split(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray, list[int]]:
     """Cells of well-quoted lines by column, the positions of the lines they belong to, and those of lines with a wrong number of cells."""
     wrong: list[int] = []
@@ -52,7 +58,8 @@ def _split(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray, list[int]]:
         wrong.append(int(row.text.split("\t", 1)[0]))
         return "skip"
 
-    for plain, hidden in _HIDDEN:
+    hiding = _hiding(lines)
+    for plain, hidden in hiding:
         lines = pc.replace_substring(lines, plain, hidden)
     numbered = pc.binary_join_element_wise(pc.cast(pa.array(np.arange(len(lines))), pa.string()), lines, "\t")
     text = "\n".join(numbered.to_pylist()).encode()
@@ -66,7 +73,7 @@ def _split(lines: pa.Array) -> tuple[list[pa.Array], np.ndarray, list[int]]:
     cells = []
     for name in names[1:]:
         col = table[name].combine_chunks() if isinstance(table[name], pa.ChunkedArray) else table[name]
-        for plain, hidden in _HIDDEN:
+        for plain, hidden in hiding:
             col = pc.replace_substring(col, hidden, plain)
         cells.append(col)
     return cells, np.array(table["#"].to_pylist(), dtype=np.int64), wrong

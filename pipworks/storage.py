@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that every executor can reach.
 
 Iterative operators cut their lineage by writing a table and reading it again. The tables lie under the folder named in
-`spark.checkpoint.dir`, so they survive the loss of an executor; a private temporary folder is used only where that
-setting is missing, as in local tests.
+`spark.checkpoint.dir`, so they survive the loss of an executor; without that setting
+only local sessions run, as in tests.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one of this process where it is unset."""
+    """The folder of `spark.checkpoint.dir`; in local sessions, as in tests, a temporary one of this process where it is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="pipworks-")

@@ -31,6 +31,13 @@ def test_reject_reasons(spark):
     assert {cases[k][0]: v for k, v in got.items()} == want
 
 
+def test_private_use_characters_stay_as_they_are(spark):
+    cell = "a\ue000b\ue001\rc"
+    raw = "\t".join([*SHEET_COLUMNS[:11], cell])
+    got = load_lines(_sheet(spark, [(2, raw.replace("action", "").replace("date", ""))])).first()
+    assert got.reason is None and got.note == cell
+
+
 def test_loader_edges(spark):
     loaded = load_lines(_sheet(spark, []))
     assert loaded.count() == 0 and refused(loaded).count() == 0 and accepted(loaded).count() == 0

@@ -250,3 +250,62 @@ def test_decisions_of_an_analysed_game():
     assert even.chance(0, 2, False) == 1 and even.chance(1, 0, True) == 0 and even.chance(2, 1, False) == 0.3 and even.chance(2, 1, True) == 0.5
     assert abs(even.normalised(0.5, 2, 2, 1)) < 1e-9
     assert decisions(text.replace("length:0", "length:2")) and len(decisions(text.replace("length:0", "length:2"))) == 2
+
+
+# Binary files
+
+
+def _record(kind, **fields):
+    import struct
+
+    rec = bytearray(2560)
+    rec[8] = kind
+    for at, (code, *values) in ((int(k[1:]), v) for k, v in fields.items()):
+        struct.pack_into(code, rec, at, *values)
+    return bytes(rec)
+
+
+def _binary(*records):
+    import zlib
+
+    return b"RGMH" + b"\0" * 40 + zlib.compress(b"x" * 100) + b"\x78\x9cbroken" + zlib.compress(b"".join(records))
+
+
+def test_binary_match():
+    from pipworks.kernels import xg
+
+    name = lambda s: ("41p", s.encode("cp1252"))
+    head = _record(0, _9=name("Ann"), _50=name("Jos\u00e9"), _92=("<i", 3), _100=("3B", 1, 0, 0), _128=("<d", 43831.5), _283=name("Harbor"))
+    play = _record(3, _64=("<i", 1), _68=("<8i", 7, 4, 5, 4, -1, -1, -1, -1), _100=("<2i", 3, 1))
+    double, end = _record(2, _12=("<i", -1), _16=("<2i", 1, 0), _200=("<f", 0.4)), _record(4, _24=("<3i", -1, 1, 0))
+    data = _binary(head, _record(1, _12=("<2i", 0, 0), _48=("<i", 1)), play, double, end, _record(5))
+    m = xg.parse(data)
+    assert [s["name"] for s in m["sides"]] == ["Ann", "Jos\u00e9"] and (m["match_length"], m["date"], m["time"], m["site"], m["analysed"]) == (3, "2020-01-01", "12:00", "Harbor", True)
+    assert [(a["kind"], a["side"]) for a in m["games"][0]["actions"]] == [("move", 0), ("double", 1), ("drop", 0)]
+    assert m["games"][0]["actions"][0]["steps"] == [(8, 5), (6, 5)]
+    from pipworks.operators.transcripts import read_bytes
+
+    match, kind, found = read_bytes(data)
+    assert kind == "xg" and match["result"]["score"] == [0, 1] and not [d for d in found if d["severity"] == "error"]
+    for bad in (b"RGMH", _binary(head, play, end), _binary(head, _record(1), play), _binary(_record(0), _record(1), end)):
+        assert read_bytes(bad)[0] is None
+        assert read_bytes(bad)[2][0]["code"] == "V-FORMAT"
+
+
+def _plain_game(rows, wins, length=5, start=(0, 0)):
+    return f"{length} point match\n\n Game 1\n Ann : {start[0]}                               Bob : {start[1]}\n" + "\n".join(rows) + f"\n{wins}\n"
+
+
+def test_played_points_stay_where_a_site_caps_them():
+    from pipworks.operators.transcripts import read_bytes
+
+    rows = ["  1) 31: 8/5 6/5                         Doubles => 2", "  2) Takes                               64: 24/14", "  3)  Doubles => 4                       Drops"]
+    match, _, found = read_bytes(_plain_game(rows, "      Wins 1 point and the match", start=(4, 0)).encode())
+    assert match["result"]["score"] == [6, 0] and ("info", "V-SCORE") in {(d["severity"], d["code"]) for d in found}
+    match, _, found = read_bytes(_plain_game(rows, "      Wins 1 point", start=(0, 0)).encode())
+    assert match["result"]["score"] == [2, 0] and ("error", "V-SCORE") in {(d["severity"], d["code"]) for d in found}
+    resigned = ["  1) 31: 8/5 6/5"]
+    match, _, found = read_bytes(_plain_game(resigned, "      Wins 2008 points", length=2).encode())
+    assert match["result"]["score"] == [2, 0]
+    match, _, found = read_bytes(_plain_game(resigned, "      Wins 4 points", length=9).encode())
+    assert match["result"]["score"] == [3, 0] and ("warning", "V-SCORE") in {(d["severity"], d["code"]) for d in found}

@@ -17,11 +17,11 @@ def test_pseudonyms(spark):
 
     key = bytes(range(32))
     df = spark.createDataFrame([("Sam ",), ("sam",), ("Zoë",), (None,), ("",), ("brave-fox-00ff",)], "name string")
-    got = [r[0] for r in df.select(pseudonym(F.col("name"), key)).collect()]
+    got = [r[0] for r in df.select(pseudonym(F.col("name"), key, "NAME\n")).collect()]
     h = hmac.new(key, b"NAME\nsam", hashlib.sha256).digest()
     assert got[0] == got[1] == f"{ADJECTIVES[h[0] & 63]}-{ANIMALS[h[1] & 63]}-{h[2:4].hex()}" and got[2] != got[0] and got[3:] == [None, "", "brave-fox-00ff"]
     assert df.filter(is_pseudonym(F.col("name"))).count() == 1
-    hidden = hide_names(df.withColumn("event", F.lit("x")), key, ["name"], ["event"]).collect()
+    hidden = hide_names(df.withColumn("event", F.lit("x")), key, ["name"], ["event"], "NAME\n").collect()
     assert sorted(map(str, got)) == sorted(str(r["name"]) for r in hidden) and {r["event"] for r in hidden} == {None}
 
 
