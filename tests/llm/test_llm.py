@@ -462,3 +462,14 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame(rows, DOCUMENTS).withColumn("unit", F.lit(1)).withColumn("words", F.lit("clash"))
     assert {r.doc_id for r in spam.flagged(spark, df).collect()} == set(range(len(spam_texts)))
     assert spam.flagged(spark, df.limit(0)).count() == 0
+
+
+def test_phrases_are_joined_where_they_are_too_many_to_send(spark, monkeypatch):
+    rng = random.Random(10)
+    phrases = ["cheap dice cups", "order now", "travel set sale", "gift for players"]
+    pages = [(k, ", ".join(rng.choice(phrases) for _ in range(12)) + ".\nOne sentence of a report, written once.", "s", f"w{k}") for k in range(8)]
+    df = spark.createDataFrame([*pages, pages[3], (90, "see above", "s", "a"), (91, "see above", "s", "b"), (92, "see above", "s", "c"), (93, "", "s", None)], DOCUMENTS)
+    sent = {tuple(r) for r in spam.judged(spark, df).collect()}
+    monkeypatch.setattr(spam, "SENT", 0)
+    assert {tuple(r) for r in spam.judged(spark, df).collect()} == sent
+    assert {r.doc_id for r in spam.flagged(spark, df).collect()} == set(range(8))  # a text posted by three is one text
