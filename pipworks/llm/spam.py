@@ -48,7 +48,7 @@ _UNITS = "doc_id long, host long, text long, at int, chars int, url_chars int, l
 
 def units(documents: DataFrame) -> DataFrame:
     """Every unit of `documents` (doc_id, text, author): the columns of _UNITS."""
-    host = F.when(F.col("author").isNull(), F.xxhash64(F.lit("own"), "doc_id")).otherwise(host)
+    host = F.when(F.col("author").isNull(), F.xxhash64(F.lit("own"), "doc_id")).otherwise(F.xxhash64("author"))
     parts = F.split("text", r"\R|(?<=[.!?])\s+")
     each = documents.filter("text is not null").select("doc_id", host.alias("host"), F.xxhash64("text").alias("text"), F.posexplode(parts).alias("at", "u"))
     each = each.filter(F.trim("u") != "").withColumn("signs", F.translate(F.col("u"), "[<#", "\u0001\u0001\u0001").contains("\u0001") | F.contains("u", F.lit("://")) | F.contains("u", F.lit("www.")))
