@@ -57,9 +57,9 @@ def units(documents: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(bare, r"[^\p{L}\p{M}']+"), "")
     url_chars = linked(F.length("u") - F.length(F.regexp_replace("u", _URL, "")), F.lit(0))
     each = each.select("doc_id", "host", "text", "at", "u", F.length("u").alias("chars"), url_chars.alias("url_chars"), linked(F.regexp_count("u", F.lit(_URL)), F.lit(0)).alias("links"), words.alias("words"))
-    n, pieces = F.size("words"), 1 + F.length("u") - F.length(F.translate("u", ",|;", "")) + F.regexp_count("u", F.lit("->"))
+    n, pieces = F.size("words"), 1 + F.length("u") - F.length(F.translate("u", ",|;", "")) + (F.length("u") - F.length(F.replace("u", F.lit("->"), F.lit("")))) / 2
     short_line = n.between(1, 5) & ~F.col("u").rlike(r"[0-9:]|[.!?]$")
-    marked = F.contains("u", F.lit("|")) | F.contains("u", F.lit("->")) | F.contains("u", F.lit("[url")) | F.col("u").rlike(r"<a\b")
+    marked = F.contains("u", F.lit("|")) | F.contains("u", F.lit("->")) | F.contains("u", F.lit("[url")) | (F.contains("u", F.lit("<a")) & F.col("u").rlike(r"<a\b"))
     dense = (2 * F.col("url_chars") > F.col("chars")) | marked | ((pieces >= 5) & (n <= 3.5 * pieces)) | short_line
     return each.select("doc_id", "host", "text", "at", "chars", "url_chars", "links", dense.alias("dense"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
