@@ -29,6 +29,11 @@ def shared_root(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in as many tasks as a shuffle has, before work that is heavy for the bytes of its rows, which adaptive execution would put into few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 class Scratch:
     """Named intermediate tables of one operator run, each written once and read back from storage."""
 
