@@ -142,6 +142,15 @@ def _shorter(word: str) -> list[str]:
     return [word, *{word[:i] + word[i + 1 :] for i in range(len(word))}] if len(word) >= 4 else [word]
 
 
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _starts(given: str, initial: str) -> set[str]:
+    """First letters of the possible given names."""
+    return {(c[2:] if c.startswith("x:") else c)[0] for c in given.split("/") if c} or {initial}
+
+
 def block_keys(form: str) -> list[int]:
     """Keys under which forms meet that may be one entity."""
     kind, *rest = form.split("|")
@@ -156,9 +165,8 @@ def block_keys(form: str) -> list[int]:
             texts += [f"e{year} {kinds} <{bare[: len(bare) // 2][:5]}", f"e{year} {kinds} >{bare[-5:]}"]
     else:
         given, initial, surname = rest
-        starts = {(c[2:] if c.startswith("x:") else c)[0] for c in given.split("/") if c} or {initial}
-        texts = [f"p{i} {w}" for i in starts for w in _shorter(surname)]
-    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
+        texts = [f"p{i} {w}" for i in _starts(given, initial) for w in _shorter(surname)]
+    return [_key(t) for t in texts]
 
 
 def vagueness(form: str) -> int:
@@ -193,24 +201,55 @@ def same_entity(a: str, b: str) -> bool:
         return x[2] == y[2] and _same_handle(x[1], y[1])
     if x[0] == "e":
         return x[1:3] == y[1:3] and _same_place(x[3], y[3])
-    if not edit_distance_at_most(x[3], y[3], 1 if min(len(x[3]), len(y[3])) >= 4 else 0):
+    if not same_surname(x[3], y[3]):
         return False
-    gx, gy = set(filter(None, x[1].split("/"))), set(filter(None, y[1].split("/")))
+    return same_given((x[1], x[2]), (y[1], y[2]))
+
+
+def same_given(x: tuple[str, str], y: tuple[str, str]) -> bool:
+    """Whether given names (possible names, initial) can be of one person."""
+    gx, gy = set(filter(None, x[0].split("/"))), set(filter(None, y[0].split("/")))
     if gx and gy:
         if gx & gy:
             return True
         p, q = min(gx), min(gy)
         return p.startswith("x:") and q.startswith("x:") and min(len(p), len(q)) >= 6 and edit_distance_at_most(p, q, 1)
     if not gx and not gy:
-        return bool(x[2]) and x[2] == y[2]
-    initial, known = (x[2], gy) if not gx else (y[2], gx)
+        return bool(x[1]) and x[1] == y[1]
+    initial, known = (x[1], gy) if not gx else (y[1], gx)
     return bool(initial) and any((c[2:] if c.startswith("x:") else c).startswith(initial) for c in known)
 
 
-def merged_forms(forms: list[str]) -> list[str]:
-    """What a merged profile is known by: its spellings and, for people, every given name with every surname."""
-    people = [f.split("|") for f in forms if f.startswith("p|")]
-    given, surnames = {p[1] for p in people if p[1] and "/" not in p[1]}, {p[3] for p in people}
-    if len(given) * len(surnames) > 400:
-        return sorted(set(forms))
-    return sorted(set(forms) | {f"p|{g}||{s}" for g in given for s in surnames})
+def same_surname(x: str, y: str) -> bool:
+    return edit_distance_at_most(x, y, 1 if min(len(x), len(y)) >= 4 else 0)
+
+
+def _people(forms: list[str], least: int) -> list[tuple[set, set]]:
+    """(given names with initials, surnames) of the people forms of a profile.
+
+    With full given names (`least` 0) every one goes with every surname, also those of members known only in part; else the forms of vagueness `least` stand alone.
+    """
+    parts = [f.split("|") for f in forms if f.startswith("p|")]
+    if parts and least == 0:
+        return [({(p[1], "") for p in parts if p[1] and "/" not in p[1]}, {p[3] for p in parts})]
+    return [({(p[1], p[2])}, {p[3]}) for p in parts if vagueness("|".join(p)) == least]
+
+
+def same_profile(a: list[str], vague_a: int, b: list[str], vague_b: int) -> bool:
+    """Whether some form of one profile and some form of the other can be of one entity, of the forms that are known best."""
+    for given_a, surnames_a in _people(a, vague_a):
+        for given_b, surnames_b in _people(b, vague_b):
+            met = surnames_a & surnames_b or any(same_surname(x, y) for x in surnames_a for y in surnames_b)
+            if met and any(same_given(x, y) for x in given_a for y in given_b):
+                return True
+    others = [[f for f in forms if not f.startswith("p|") and vagueness(f) == least] for forms, least in ((a, vague_a), (b, vague_b))]
+    return any(same_entity(x, y) for x in others[0] for y in others[1])
+
+
+def profile_keys(forms: list[str]) -> list[int]:
+    """Keys of all forms of a profile, and of every given name with every surname."""
+    keys = {k for f in forms for k in block_keys(f)}
+    for given, surnames in _people(forms, 0):
+        starts = {block for name, initial in given for block in _starts(name, initial)}
+        keys |= {_key(f"p{i} {w}") for s in surnames for w in _shorter(s) for i in starts}
+    return sorted(keys)

@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -43,11 +44,12 @@ def _point(word: str) -> int:
     return 25 if word == "bar" else 0 if word == "off" else int(word)
 
 
+@lru_cache(maxsize=1 << 17)
 def play_token(dice: tuple[str, str], body: str) -> int:
     """A play as a number that does not depend on the order of dice and steps, on hit marks, or on how steps, bar and off are written."""
     net: Counter = Counter()
     for first, rest, times in _STEP.findall(body):
-        n = min(int(times or 1), 4)
+        n = int(times or 1)
         net[_point(first)] += n
         net[_point(rest.rsplit("/", 1)[1])] -= n
     moved = ",".join(f"{p}:{n}" for p, n in sorted(net.items()) if n)

@@ -4,7 +4,8 @@ Documents are items of their size in tokens; one above the capacity is cut into
 their own, and a rest, which is an item. Items are spread by hash over shards of about SHARD_ITEMS, a bound that does not
 grow with the data. Every shard is evolved on ISLANDS islands: a solution is a set of groups (containers with their
 items); crossover injects well-filled groups of one solution whole into another, groups that hold an item twice are
-dissolved, and their displaced items go to where they fit best. Between epochs the best solution of each island migrates
+dissolved, their displaced items take the place of smaller ones where that fills a group better, and go to where they
+fit best. Between epochs the best solution of each island migrates
 to the next island of its shard. Containers that end up below FULL are pooled from all shards and packed again in the
 same way, so what is left over does not add up over shards.
 
@@ -29,7 +30,8 @@ from pipworks.storage import Scratch
 SHARD_ITEMS = 500
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 5
+#: Generations of an epoch, and those without a better best solution after which it ends.
+GENERATIONS, PATIENCE = 10, 4
 POPULATION = 6
 OFFSPRING = 3
 FULL = 0.97
@@ -60,6 +62,27 @@ def fitness(sizes: list[int], capacity: int, groups: Groups) -> float:
     return sum((sum(sizes[i] for i in g) / capacity) ** 2 for g in groups) / max(1, len(groups))
 
 
+def exchange(sizes: list[int], capacity: int, groups: Groups, displaced: list[int]) -> list[int]:
+    """Fills groups better by exchanging one of their items for a larger displaced one that still fits; what is displaced then is returned."""
+    pool = sorted((sizes[i], i) for i in displaced)
+    for g in groups:
+        room = capacity - sum(sizes[i] for i in g)
+        while room > 0 and pool:
+            gain, best = 0, None
+            for k, i in enumerate(g):
+                at = bisect.bisect_left(pool, (sizes[i] + room + 1, -1)) - 1
+                if at >= 0 and pool[at][0] - sizes[i] > gain:
+                    gain, best = pool[at][0] - sizes[i], (k, at)
+            if best is None:
+                break
+            k, at = best
+            (_, new), old = pool.pop(at), g[k]
+            g[k] = new
+            bisect.insort(pool, (sizes[old], old))
+            room -= gain
+    return [i for _, i in pool]
+
+
 def crossover(sizes: list[int], capacity: int, into: Groups, source: Groups, rng: np.random.Generator) -> Groups:
     """Injects the best filled of a random choice of groups of `source` into `into`."""
     filled = sorted(source, key=lambda g: -sum(sizes[i] for i in g))
@@ -72,7 +95,8 @@ def crossover(sizes: list[int], capacity: int, into: Groups, source: Groups, rng
             kept.append(list(g))
         else:
             displaced += [i for i in g if i not in taken]
-    return best_fit(sizes, capacity, displaced, injected + kept)
+    groups = injected + kept
+    return best_fit(sizes, capacity, exchange(sizes, capacity, groups, displaced), groups)
 
 
 def mutate(sizes: list[int], capacity: int, groups: Groups, rng: np.random.Generator) -> Groups:
@@ -81,7 +105,8 @@ def mutate(sizes: list[int], capacity: int, groups: Groups, rng: np.random.Gener
         return groups
     order = sorted(range(len(groups)), key=lambda k: sum(sizes[i] for i in groups[k]))
     gone = {order[0], *rng.choice(len(groups), size=min(len(groups) - 1, 1 + len(groups) // 20), replace=False).tolist()}
-    return best_fit(sizes, capacity, [i for k in gone for i in groups[k]], [list(g) for k, g in enumerate(groups) if k not in gone])
+    kept = [list(g) for k, g in enumerate(groups) if k not in gone]
+    return best_fit(sizes, capacity, exchange(sizes, capacity, kept, [i for k in gone for i in groups[k]]), kept)
 
 
 def evolve(sizes: list[int], capacity: int, population: list[Groups], rng: np.random.Generator, generations: int = GENERATIONS) -> list[Groups]:
@@ -101,14 +126,17 @@ def evolve(sizes: list[int], capacity: int, population: list[Groups], rng: np.ra
             population.append(best_fit(sizes, capacity, [i for i in items if i not in chosen], start))
     least = max(1, -(-sum(sizes) // capacity))
     ranked = sorted(population, key=lambda g: -fitness(sizes, capacity, g))
+    best, waited = fitness(sizes, capacity, ranked[0]), 0
     for _ in range(generations):
-        if len(ranked[0]) <= least:  # no solution has fewer groups
+        if len(ranked[0]) <= least or waited >= PATIENCE:  # no solution has fewer groups, or none better was found for long
             break
         for _ in range(OFFSPRING):
             a, b = sorted(rng.choice(len(ranked), size=2, replace=len(ranked) < 2).tolist())
             child = crossover(sizes, capacity, ranked[b], ranked[a], rng)
             ranked.append(mutate(sizes, capacity, child, rng) if rng.random() < 0.5 else child)
         ranked = sorted(ranked, key=lambda g: -fitness(sizes, capacity, g))[:POPULATION]
+        now = fitness(sizes, capacity, ranked[0])
+        best, waited = max(best, now), 0 if now > best + 1e-12 else waited + 1
     return ranked
 
 
@@ -154,13 +182,15 @@ def _pack_round(scratch: Scratch, items: DataFrame, tag: str) -> DataFrame:
     grouped = scratch.save(grouped, f"shards-{tag}")
     key = ["container", "capacity", "shard"]
     state = grouped.select(*key, F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.transform("items", lambda i: i["tokens"].cast("int")).alias("sizes"), F.lit(None).cast("array<array<int>>").alias("population"))
-    state = state.repartition(F.col("shard"), F.col("island"), F.col("container"))
+    # evolving is heavy for the bytes it reads: the number of tasks is given, so that adaptive execution does not put them together
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    state = state.repartition(tasks, "shard", "island", "container")
     for epoch in range(EPOCHS):
         state = scratch.save(state.mapInPandas(_epoch(epoch), _STATE), f"epoch{epoch}-{tag}")
         if epoch == EPOCHS - 1:
             break
         elite = state.select(*key, F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("population")[0].alias("elite"))
-        joined = state.join(elite, [*key, "island"])
+        joined = state.join(elite, [*key, "island"]).repartition(tasks, "shard", "island", "container")
         state = joined.select(*key, "island", "sizes", F.concat(F.slice("population", 1, POPULATION - 1), F.array("elite")).alias("population"))
     best = state.groupBy(*key).agg(F.max_by(F.col("population")[0], F.struct(-F.col("groups"), "best", -F.col("island"))).alias("code"))
     placed = grouped.join(best, key).select(*key, F.explode(F.arrays_zip("items", "code")).alias("z"))

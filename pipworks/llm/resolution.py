@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipworks.llm.mojibake import restored_values
-from pipworks.llm.name_forms import block_keys, event_form, merged_forms, player_form, same_entity, vagueness
+from pipworks.llm.name_forms import event_form, player_form, profile_keys, same_profile, vagueness
 from pipworks.operators.components import components
-from pipworks.storage import Scratch
+from pipworks.storage import Scratch, spread
 
-MAX_ROUNDS = 12
+#: More rounds than chains of partly known names need; not settling by then is an error.
+MAX_ROUNDS = 60
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,8 +38,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        full = [merged_forms(list(f)) if len(f) > 1 else list(f) for f in b["forms"]]
-        keys = [sorted({k for f in fs for k in block_keys(f)}) for fs in full]
+        keys = [profile_keys(list(f)) for f in b["forms"]]
         vague = [min(map(vagueness, f)) for f in b["forms"]]
         yield pd.DataFrame({"profile": b["profile"], "changed": b["changed"], "vague": vague, "keys": keys})
 
@@ -47,12 +47,10 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         holds, sure = [], []
         for x, y, vx, vy in zip(b["forms_a"], b["forms_b"], b["vague_a"], b["vague_b"], strict=True):
-            xs, ys = (merged_forms(list(f)) if len(f) > 1 else list(f) for f in (x, y))
-            # where a profile has full names, members known only in part say nothing for it
-            xs, ys = ([f for f in fs if vagueness(f) == least] for fs, least in ((xs, vx), (ys, vy)))
-            same = any(same_entity(p, q) for p in xs for q in ys)
+            # where a profile has full given names, members known only in part say nothing for it but their surnames
+            same = same_profile(list(x), vx, list(y), vy)
             # two that may stand for the same several given names are alike in what they leave open
-            open_alike = [f.split("|")[1] for f in (xs[0], ys[0])]
+            open_alike = [next(f for f in fs if vagueness(f) == least).split("|")[1] for fs, least in ((x, vx), (y, vy))]
             holds.append(same)
             sure.append(same and vx == vy and (vx == 0 or vx == 1 and open_alike[0] == open_alike[1]))
         yield b.assign(sure=sure).loc[holds, ["a", "b", "vague_a", "vague_b", "sure"]]
@@ -73,7 +71,7 @@ def merge_and_rematch(spark: SparkSession, forms: DataFrame) -> DataFrame:
         first = F.col("p") < F.col("q")
         pairs = met.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"), F.when(first, F.col("vp")).otherwise(F.col("vq")).alias("vague_a"), F.when(first, F.col("vq")).otherwise(F.col("vp")).alias("vague_b")).distinct()
         side = lambda s: state.select(F.col("profile").alias(s), F.col("forms").alias(f"forms_{s}"))
-        matches = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_check, "a string, b string, vague_a int, vague_b int, sure boolean"), f"matches{k}")
+        matches = scratch.save(spread(pairs.join(side("a"), "a").join(side("b"), "b")).mapInPandas(_check, "a string, b string, vague_a int, vague_b int, sure boolean"), f"matches{k}")
         strong = matches.filter("sure").select("a", "b")
         part = matches.filter("vague_a <> vague_b").select(F.when(F.expr("vague_a > vague_b"), F.col("a")).otherwise(F.col("b")).alias("part"), F.when(F.expr("vague_a > vague_b"), F.col("b")).otherwise(F.col("a")).alias("whole"))
         # only where nothing else merges any more are the ambiguous ones known to be so
@@ -81,13 +79,16 @@ def merge_and_rematch(spark: SparkSession, forms: DataFrame) -> DataFrame:
         links = strong if not strong.isEmpty() else fits
         links = scratch.save(links, f"links{k}")
         if links.isEmpty():
-            break
+            return member
         root = components(spark, links)
         step = root.select(F.col("node").alias("profile"), "root")
         member = scratch.save(member.join(step, "profile", "left").select("form", F.coalesce("root", "profile").alias("profile")), f"member{k}")
         merged = state.join(step, "profile", "left").select(F.coalesce("root", "profile").alias("profile"), F.explode("forms").alias("form"), F.col("root").isNotNull().alias("moved"))
         state = merged.groupBy("profile").agg(F.array_sort(F.collect_set("form")).alias("forms"), F.max("moved").alias("changed"))
-    return member
+        for name in ("state", "keys", "matches", "links"):
+            if k:
+                scratch.drop(f"{name}{k - 1}")
+    raise RuntimeError(f"names did not settle in {MAX_ROUNDS} rounds")
 
 
 def name_groups(spark: SparkSession, names: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ it the one is taken that agrees with the most outcome weight, found by sweeping
 
 A Lanczos step is one join of the edges with a vector and one aggregation. Edges are stored once, bucketed by the item
 whose value they need; items with many edges are spread over salted copies. The vectors stay distributed: the driver
-holds the tridiagonal coefficients, a matrix of STEPS x STEPS and the histogram.
+holds the tridiagonal coefficients, a matrix of at most MOST_STEPS x MOST_STEPS and the histogram. Steps end when the
+residual of the plane is below TOLERANCE, which takes some more of them on larger graphs.
 
 Defined cases: rows with a null name, the same name on both sides, or win other than 0 or 1 are no outcomes; an id that
 was delivered again counts once; unknown or zero lengths weigh as one; names without any outcome are ranked with strength
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +30,16 @@ from pyspark.sql import functions as F
 from pipworks.operators.ranking import global_rank
 from pipworks.storage import Scratch
 
-STEPS = 8
+#: Share of the leading singular value that the residual of the plane may have, and steps after which a warning says that it is not.
+TOLERANCE = 1e-3
+MOST_STEPS = 80
 #: Degree regularisation, in mean degrees.
 REGULAR = 0.5
 #: Edges of one item from which on they are spread over further salts.
 HUB_EDGES = 20_000
 ANGLES = 1440
-BUCKETS = 24
+#: Entries of the margin matrix in a bucket.
+PER_BUCKET = 250_000
 
 
 def outcomes(catalog: DataFrame) -> DataFrame:
@@ -55,6 +60,14 @@ def tridiagonal(beta: list[float]) -> np.ndarray:
     return t
 
 
+def residual(beta: list[float], following: float) -> float:
+    """How far the leading plane of the coefficients so far is from one of the whole matrix, in parts of its singular value; `following` is the next coefficient."""
+    if len(beta) < 2:
+        return math.inf
+    vectors, values, _ = np.linalg.svd(tridiagonal(beta))
+    return following * float(np.abs(vectors[-1, :2]).max()) / float(values[0])
+
+
 def best_angle(histogram: dict[int, tuple[float, float]]) -> tuple[float, float]:
     """The direction, as an angle, that agrees with the most weight, and that weight. `histogram`: by bin of the angle of the winner's lead, weight of outcomes for it and against it."""
     weight = np.zeros(ANGLES)
@@ -72,7 +85,7 @@ def best_angle(histogram: dict[int, tuple[float, float]]) -> tuple[float, float]
     return 2 * math.pi * k / ANGLES, float(sums.max())
 
 
-def ranking(spark: SparkSession, catalog: DataFrame, steps: int = STEPS) -> DataFrame:
+def ranking(spark: SparkSession, catalog: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(name, rank, strength, matches, won) of all names in p0 and p1. Strengths have mean 0 and deviation 1 over names with outcomes; larger is stronger."""
     scratch = Scratch(spark, "spectral")
     result = outcomes(catalog)
@@ -96,25 +109,28 @@ def ranking(spark: SparkSession, catalog: DataFrame, steps: int = STEPS) -> Data
     both = F.array(F.struct(F.col("ia").alias("i"), F.col("ib").alias("j"), x.alias("x"), F.col("saltsb").alias("salts")), F.struct(F.col("ib").alias("i"), F.col("ia").alias("j"), (-x).alias("x"), F.col("saltsa").alias("salts")))
     edges = numbered.select(F.explode(both).alias("e")).select("e.i", "e.j", "e.x", F.pmod(F.xxhash64("e.i"), F.col("e.salts")).cast("int").alias("salt")).filter("x <> 0")
     table = f"margins_{uuid.uuid4().hex[:12]}"
-    edges.repartition(BUCKETS, "j", "salt").write.bucketBy(BUCKETS, "j", "salt").option("path", scratch.path("margins")).saveAsTable(table)
+    buckets = max(12, -(-2 * numbered.count() // PER_BUCKET))
+    edges.repartition(buckets, "j", "salt").write.bucketBy(buckets, "j", "salt").option("path", scratch.path("margins")).saveAsTable(table)
     edges = spark.table(table)
 
     # The start vector is the image of the constant; the first step then yields the margins won.
     norm = math.sqrt(nodes.agg(F.sum(F.col("degree") + REGULAR * mean)).first()[0])
     basis = nodes.select("i", "salts", (1 / scale / norm).alias("v0"))
     beta: list[float] = []
-    for k in range(1, steps):
+    for k in range(1, MOST_STEPS + 1):
         spread = basis.select(F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(f"v{k - 1}").alias("v"))
         image = edges.join(spread, ["j", "salt"]).groupBy("i").agg(F.sum(F.col("x") * F.col("v")).alias("y"))
         back = F.lit(beta[-1]) * F.col(f"v{k - 2}") if k > 1 else F.lit(0.0)
         step = scratch.save(basis.join(image, "i", "left").select(*basis.columns, (F.coalesce("y", F.lit(0.0)) + back).alias("z")), f"step{k}")
         b = math.sqrt(step.agg(F.sum(F.col("z") * F.col("z"))).first()[0] or 0.0)
-        if b < 1e-9:  # the plane is exhausted
+        if b < 1e-9 or residual(beta, b) <= tolerance:  # the plane is exhausted, or known well enough
             break
         beta.append(b)
         if k > 1:
             scratch.drop(f"step{k - 1}")
         basis = step.withColumn(f"v{k}", F.col("z") / b).drop("z")
+    else:
+        warnings.warn(f"the leading plane is not known to {tolerance} after {MOST_STEPS} steps", stacklevel=2)
     plane = np.linalg.svd(tridiagonal(beta))[0][:, :2] if beta else np.array([[1.0, 0.0]])
     mixed = [sum((F.col(f"v{k}") * float(plane[k, c]) for k in range(len(plane))), F.lit(0.0)) for c in (0, 1)]
     place = scratch.save(basis.select("i", mixed[0].alias("x0"), mixed[1].alias("y0")).join(nodes, "i").select("i", "name", "matches", "won", (F.col("x0") * scale).alias("x"), (F.col("y0") * scale).alias("y")), "plane")

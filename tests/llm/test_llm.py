@@ -187,6 +187,36 @@ def test_ranking_recovers_a_known_order(spark):
     assert [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 41))
 
 
+def test_ranking_tells_outcomes_it_has_not_seen(spark):
+    rng = random.Random(18)
+    skill = {f"n{k:02}": k / 12 for k in range(60)}
+
+    def match(k):
+        a, b = rng.sample(sorted(skill), 2)
+        return (k, f"m{k}", a, b, 0 if rng.random() < 1 / (1 + np.exp(skill[b] - skill[a])) else 1, 5)
+
+    seen, held = [match(k) for k in range(3000)], [match(k) for k in range(2000)]
+    strength = {r.name: r.strength for r in spectral.ranking(spark, spark.createDataFrame(seen, CATALOG)).collect()}
+    right = lambda by: np.mean([(by[a] > by[b]) == (win == 0) for _, _, a, b, win, _ in held])
+    assert right(strength) > right(skill) - 0.03
+
+
+def test_residual_of_the_plane():
+    rng = np.random.default_rng(4)
+    m = np.outer(np.arange(30.0), np.ones(30))
+    m = m - m.T + (n := rng.normal(size=(30, 30))) - n.T
+    v, before, beta = np.ones(30) / 30**0.5, np.zeros(30), []
+    for _ in range(12):
+        z = m @ v + (beta[-1] * before if beta else 0)
+        b = np.linalg.norm(z)
+        if spectral.residual(beta, b) < 1e-6:
+            break
+        beta.append(b)
+        before, v = v, z / b
+    assert 2 <= len(beta) <= 12
+    assert abs(np.linalg.svd(spectral.tridiagonal(beta))[1][0] - np.linalg.svd(m)[1][0]) < 1e-6 * np.linalg.svd(m)[1][0]
+
+
 def test_ranking_edges(spark):
     rows = [(1, "a", "x", "y", 0, 3), (2, "a", "x", "y", 0, 3), (3, "b", None, "z", 1, 1), (4, "c", "w", "w", 1, 1), (5, "d", "v", "x", -1, 5), (6, None, "y", "u", 0, None)]
     got = {r.name: r for r in spectral.ranking(spark, spark.createDataFrame([(*r, "clash") for r in rows], CATALOG + ", rank string")).collect()}
@@ -413,6 +443,19 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.packed(spark, documents.limit(0), capacities).count() == 0
 
 
+def test_evolution_packs_better_than_best_fit():
+    better = 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        for sizes in (rng.integers(200, 600, 500).tolist(), rng.integers(300, 370, 400).tolist()):
+            plain = packing.best_fit(sizes, 1000, list(range(len(sizes))), [])
+            ended = packing.evolve(sizes, 1000, [], np.random.default_rng(1))[0]
+            assert sorted(i for g in ended for i in g) == list(range(len(sizes))) and all(sum(sizes[i] for i in g) <= 1000 for g in ended)
+            assert len(ended) <= len(plain)
+            better += len(ended) < len(plain)
+    assert better == 6
+
+
 def test_genetic_operators_keep_every_item_once():
     rng = np.random.default_rng(3)
     sizes = rng.integers(0, 90, 120).tolist()
