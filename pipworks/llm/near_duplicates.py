@@ -105,11 +105,29 @@ def _transcript_keys(games: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([keys, table_keys(np.unique(plays), salt=1)]) if len(plays) < SHORT_PLAYS else keys
 
 
-def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, keys_of, same, size_of=lambda _: 0, ratio: float = 0.0) -> DataFrame:
+#: Cells of a count profile, and the count at which a cell is full and says no more.
+CELLS, FULL_CELL = 128, 255
+
+
+def count_profile(games: list[np.ndarray]) -> bytes:
+    """How many plays fall into each of CELLS cells by hash."""
+    plays = np.concatenate([np.asarray(g, dtype=np.uint64) for g in games])
+    return np.minimum(np.bincount((plays % np.uint64(CELLS)).astype(int), minlength=CELLS), FULL_CELL).astype(np.uint8).tobytes()
+
+
+def profiles_allow(a: list[bytes], b: list[bytes], ratio: float) -> np.ndarray:
+    """Whether two transcripts can have `ratio` of the longer one's plays in common: no more than the lesser counts of all cells together, unless a cell is full."""
+    x, y = (np.frombuffer(b"".join(p), dtype=np.uint8).reshape(-1, CELLS).astype(np.int32) for p in (a, b))
+    full = ((x == FULL_CELL) | (y == FULL_CELL)).any(axis=1)
+    return full | (np.minimum(x, y).sum(axis=1) >= ratio * np.maximum(x.sum(axis=1), y.sum(axis=1)) - 1e-9)
+
+
+def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, keys_of, same, size_of=lambda _: 0, ratio: float = 0.0, profile_of=None) -> DataFrame:
     """(id, root) of every row of `rows` (id, value) that has a partner.
 
     `parse` makes the normal form of a value, or None where it belongs to no group; `keys_of` gives the table keys of a
-    normal form, `same` decides on two of them. It never holds where the smaller `size_of` is below `ratio` of the larger.
+    normal form, `same` decides on two of them. It never holds where the smaller `size_of` is below `ratio` of the larger, or the profiles by `profile_of` rule it out;
+    pairs that profiles rule out never fetch the normal forms.
     """
     scratch = Scratch(spark, "near-duplicates")
 
@@ -137,7 +155,23 @@ def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, key
             holds = [same(x, y) for x, y in zip(batch["form_a"], batch["form_b"], strict=True)]
             yield batch.loc[holds, ["a", "b"]]
 
+    if profile_of is not None:
+
+        def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"node": batch["node"], "profile": [profile_of(f) for f in batch["form"]]})
+
+        profiles = scratch.save(one.mapInPandas(profile, "node long, profile binary"), "profiles")
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield batch.loc[profiles_allow(list(batch["pa"]), list(batch["pb"]), ratio), ["a", "b"]]
+
     def holding(pairs: DataFrame, name: str) -> DataFrame:
+        if profile_of is not None:
+            both = pairs.join(profiles.select(F.col("node").alias("a"), F.col("profile").alias("pa")), "a").join(profiles.select(F.col("node").alias("b"), F.col("profile").alias("pb")), "b")
+            pairs = scratch.save(both.mapInPandas(possible, "a long, b long"), f"possible-{name}")
         sides = pairs.join(one.select(F.col("node").alias("a"), F.col("form").alias("form_a")), "a").join(one.select(F.col("node").alias("b"), F.col("form").alias("form_b")), "b")
         return scratch.save(sides.mapInPandas(check, "a long, b long"), name)
 
@@ -149,7 +183,7 @@ def _groups(spark: SparkSession, rows: DataFrame, parsed_schema: str, parse, key
         roots = components(spark, links.unionByName(rest))
     grouped = member.join(roots, "node", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "node").alias("root"))
     out = scratch.save(grouped, "groups")
-    for name in ("parsed", "distinct", "keys", "links", "rest"):
+    for name in ("parsed", "distinct", "keys", "links", "rest", "profiles", "possible-links", "possible-rest"):
         scratch.drop(name)
     return out
 
@@ -161,7 +195,7 @@ def _parse_moves(text: str) -> list[list[int]] | None:
 def transcript_groups(spark: SparkSession, items: DataFrame, key: str = "item_id", text: str = "moves") -> DataFrame:
     """(id, root) of the rows whose transcripts are of the same match as another row's."""
     rows = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("value"))
-    return _groups(spark, rows, "array<array<long>>", _parse_moves, _transcript_keys, same_match, lambda games: sum(map(len, games)), SAME_PLAYS)
+    return _groups(spark, rows, "array<array<long>>", _parse_moves, _transcript_keys, same_match, lambda games: sum(map(len, games)), SAME_PLAYS, count_profile)
 
 
 # Words at either end of a file name that only mark a copy or version.

@@ -116,6 +116,19 @@ def test_transcripts_against_brute_force(spark):
     assert want and _pairs(near_duplicates.transcript_groups(spark, df)) == want
 
 
+def test_profiles_rule_out_no_pair_that_is_one_match():
+    rng = random.Random(21)
+    for _ in range(200):
+        a = [[rng.randrange(1 << 40) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 3))]
+        b = [[p if rng.random() < 0.85 else rng.randrange(1 << 40) for p in g] for g in rng.sample(a, len(a))]
+        c = [[rng.randrange(1 << 40) for _ in g] for g in a]
+        allowed = near_duplicates.profiles_allow([near_duplicates.count_profile(a)] * 2, [near_duplicates.count_profile(x) for x in (b, c)], near_duplicates.SAME_PLAYS)
+        assert allowed[0] or not near_duplicates.same_match(a, b)
+        assert allowed[1] or not near_duplicates.same_match(a, c)
+    many = near_duplicates.count_profile([[5] * 1000])
+    assert near_duplicates.profiles_allow([many], [near_duplicates.count_profile([[5] * 900])], 0.8)[0]
+
+
 def test_common_start_is_not_enough():
     rng = random.Random(6)
     a, b = _game(rng, 40), _game(rng, 40)
