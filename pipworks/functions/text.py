@@ -82,6 +82,13 @@ def video_link(url: Column) -> Column:
     return F.when((F.lower(F.substring(url, 1, 8)) == "https://") & key.rlike("^[A-Za-z0-9_-]{11}$"), F.concat(F.lit("https://www.youtube.com/watch?v="), key))
 
 
+def moves_fingerprint(text: Column) -> Column:
+    """A digest of a transcript without its headers: lines with blanks collapsed, without empty ones, comments and lines that are one bracket."""
+    lines = F.transform(F.split(F.regexp_replace(text, "^\\uFEFF", ""), "\\r?\\n"), lambda line: F.trim(F.regexp_replace(line, "\\s+", " ")))
+    kept = F.filter(lines, lambda line: (line != "") & ~F.startswith(line, F.lit(";")) & ~line.rlike("^\\[[^\\]]*\\]$"))
+    return F.sha2(F.array_join(kept, "\n"), 256)
+
+
 def length_text(length: Column) -> Column:
     return F.when(length == 0, "money game").when(length > 0, F.concat(length.cast("string"), F.lit(" pt")))
 

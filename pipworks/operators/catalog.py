@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pipworks.functions.query import FLAGS, parse, predicate
 from pipworks.functions.text import display_key, natural_key, normalise, year_of
+from pipworks.operators.ranking import global_rank
 
 PAGE = 50
 
@@ -155,7 +156,29 @@ def unique_prefixes(hashes: DataFrame, least: int = 8, step: int = 2, most: int
     return near.select("id", F.substring(F.col("content_hash"), F.lit(1), size.cast("int")).alias("prefix"))
 
 
-def filled_shards(rows: DataFrame, order: list[str], per_shard: int) -> DataFrame:
-    """(row keys, shard number): shards of `per_shard` rows in order within each source; sealing by count."""
-    n = F.row_number().over(Window.partitionBy("source_key").orderBy(*order))
-    return rows.withColumn("shard_no", F.floor((n - 1) / per_shard).cast("int"))
+def filled_shards(spark: SparkSession, rows: DataFrame, order: list[str], per_shard: int) -> DataFrame:
+    """(row keys, shard number): shards of `per_shard` rows in order within each source; sealing by count.
+
+    Rows are ranked over all sources by range partitions and the rank of a source's first row is taken off, so a source with most of the rows is no task of its own."""
+    ranked = global_rank(spark, rows, [F.col("source_key"), *[F.col(c) for c in order]], "_rank")
+    first = ranked.groupBy("source_key").agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, "source_key").select(*rows.columns, F.floor((F.col("_rank") - F.col("_first")) / per_shard).cast("int").alias("shard_no"))
+
+
+def shard_problems(files: DataFrame) -> DataFrame:
+    """(shard, hash, problem) of stored matches (path, shard, hash, ext, content) that do not hold together.
+
+    `no_meta`, `no_mat`: one of the two files is missing; `empty`: one is empty; `unreadable`: the metadata are no JSON with an id; `hash`: their content hash does not begin with the name of the file; `id`: their id is not shard and hash.
+    """
+    meta = F.from_json("content", "id string, contentHash string")
+    side = lambda ext, value: F.max(F.when(F.col("ext") == ext, value))
+    both = files.groupBy("shard", "hash").agg(
+        side("mat", F.length("content")).alias("mat"), side("meta.json", F.length("content")).alias("meta"),
+        side("meta.json", F.coalesce(meta["id"], F.lit(""))).alias("id"), side("meta.json", F.coalesce(meta["contentHash"], F.lit(""))).alias("content_hash"),
+    )
+    there, named = F.col("meta") > 0, F.col("id") != ""
+    problems = F.array(
+        F.when(F.col("meta").isNull(), "no_meta"), F.when(F.col("mat").isNull(), "no_mat"), F.when((F.col("mat") == 0) | (F.col("meta") == 0), "empty"), F.when(there & ~named, "unreadable"),
+        F.when(there & named & ~F.startswith("content_hash", F.col("hash")), "hash"), F.when(there & named & (F.col("id") != F.concat_ws("/", "shard", "hash")), "id"),
+    )
+    return both.select("shard", "hash", F.explode(F.array_compact(problems)).alias("problem"))

@@ -240,7 +240,7 @@ def series_numbers(spark, folder):
 
 def sealed_shards(spark, folder):
     rows = _catalog(spark, folder).select("row_id", C.shard_of().alias("source_key"))
-    return C.filled_shards(rows, ["row_id"], 250)
+    return C.filled_shards(spark, rows, ["row_id"], 250)
 
 
 def rating(spark, folder):

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipworks.operators import publishing as P
-from pipworks.functions.text import normalise
+from pipworks.functions.text import length_text, moves_fingerprint, normalise, time_label, video_seconds
 from pipworks.operators import enrichment, reconcile, review, transcripts
 from pipworks.operators.catalog import latest_by, shard_of
+from pipworks.operators.catalog import shard_problems as catalog_shard_problems
 from pipworks.plans.catalog import _DISPLAY, _NORM, _SHARD, _SIDES
 from pipworks.plans.transcripts import _SCAN, _files
 from pipworks.sources.reject_loader import SHEET_COLUMNS
@@ -135,9 +136,27 @@ def transcript_copies(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.clusters(spark, scanned).select("path", "members")
 
 
+def moves_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """A digest of the moves of every .mat file."""
+    return _files(spark, folder).filter("content is not null").select("path", moves_fingerprint(F.col("content")).alias("fingerprint"))
+
+
+def shard_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored matches whose two files do not hold together."""
+    latest = latest_by(table(spark, folder, "match_files").select("path", "shard", "hash", "ext", "content", "file_no"), "path", ["file_no"])
+    return catalog_shard_problems(latest)
+
+
+def shown_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """How lengths of matches, and times of day as places in a recording, are shown, and the seconds read back."""
+    rows = table(spark, folder, "match_catalog").select("row_id", "len", (F.unix_seconds("submitted_at") % 86_400).alias("s"))
+    spoken = F.format_string("%dh%dm%ds", F.floor(F.col("s") / 3600), F.floor(F.col("s") % 3600 / 60), F.col("s") % 60)
+    return rows.select("row_id", length_text(F.col("len")).alias("length"), time_label(F.col("s")).alias("label"), video_seconds(spoken).alias("seconds"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (enrichments_merged, catalog_enriched, enrichment_additions, transcript_copies, catalog_dictionaries, catalog_columns, catalog_decoded, player_filters, published_flags, listings_loaded, site_events, review_plan, review_plan_named, review_sheet, score_ledger)
+    for f in (moves_fingerprints, shard_problems, shown_texts, enrichments_merged, catalog_enriched, enrichment_additions, transcript_copies, catalog_dictionaries, catalog_columns, catalog_decoded, player_filters, published_flags, listings_loaded, site_events, review_plan, review_plan_named, review_sheet, score_ledger)
 }
 
 _LATEST = f"""WITH latest AS (SELECT *, {_SHARD} AS shard FROM match_catalog QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1),
@@ -193,6 +212,15 @@ ORACLE = {
       SELECT id, ['crawl'] AS tags, coalesce(urls, []) AS urls FROM a LEFT JOIN u USING (id)""",
     "transcript_copies": _SCAN
     + f"""SELECT path, members FROM (SELECT path, count(*) OVER (PARTITION BY list_sort([coalesce({_NORM.format("p0")}, ''), coalesce({_NORM.format("p1")}, '')]), match_length, rolls) AS members FROM scan) WHERE members > 1""",
+    "moves_fingerprints": """SELECT concat_ws('#', file_no::VARCHAR, path) AS path, sha256(array_to_string(list_filter(list_transform(string_split(replace(content, chr(13), ''), chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))),
+      lambda l: l <> '' AND NOT starts_with(l, ';') AND NOT regexp_full_match(l, '\\[[^\\]]*\\]')), chr(10))) AS fingerprint FROM match_files WHERE ext = 'mat' AND content IS NOT NULL""",
+    "shard_problems": """WITH f AS (SELECT * FROM match_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_no DESC) = 1), j AS (SELECT *, CASE WHEN ext = 'meta.json' AND json_valid(content) THEN content END AS js FROM f),
+      g AS (SELECT shard, hash, max(CASE WHEN ext = 'mat' THEN length(content) END) AS mat, max(CASE WHEN ext = 'meta.json' THEN length(content) END) AS meta, max(CASE WHEN ext = 'meta.json' THEN coalesce(js->>'$.id', '') END) AS id,
+        max(CASE WHEN ext = 'meta.json' THEN coalesce(js->>'$.contentHash', '') END) AS ch FROM j GROUP BY 1, 2)
+      SELECT shard, hash, 'no_meta' AS problem FROM g WHERE meta IS NULL UNION ALL SELECT shard, hash, 'no_mat' FROM g WHERE mat IS NULL UNION ALL SELECT shard, hash, 'empty' FROM g WHERE mat = 0 OR meta = 0
+      UNION ALL SELECT shard, hash, 'unreadable' FROM g WHERE meta > 0 AND id = '' UNION ALL SELECT shard, hash, 'hash' FROM g WHERE meta > 0 AND id <> '' AND NOT starts_with(ch, hash) UNION ALL SELECT shard, hash, 'id' FROM g WHERE meta > 0 AND id <> '' AND id <> concat_ws('/', shard, hash)""",
+    "shown_texts": """SELECT row_id, CASE WHEN len = 0 THEN 'money game' WHEN len > 0 THEN len || ' pt' END AS length, CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{}:{:02d}', s // 60, s % 60) END AS label, s AS seconds
+      FROM (SELECT row_id, len, epoch_us(submitted_at) // 1000000 % 86400 AS s FROM match_catalog)""",
     "review_sheet": "SELECT row_id, concat_ws(chr(9), "
     + ", ".join(f"CASE WHEN regexp_matches(coalesce({c}::VARCHAR, ''), '^\"|[\\t\\r\\n]') THEN '\"' || replace({c}::VARCHAR, '\"', '\"\"') || '\"' ELSE coalesce({c}::VARCHAR, '') END" for c in SHEET.values())
     + ") AS raw FROM meta_review",
