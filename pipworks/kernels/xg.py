@@ -26,8 +26,8 @@ HEADER, GAME, CUBE, MOVE, END = 0, 1, 2, 3, 4
 LAYOUTS = {
     HEADER: {"first": (9, "u1", 41), "second": (50, "u1", 41), "length": (92, "<i4", 1), "switches": (100, "u1", 3), "date": (128, "<f8", 1), "site": (283, "u1", 41)},
     GAME: {"score": (12, "<i4", 2), "number": (48, "<i4", 1)},
-    CUBE: {"player": (12, "<i4", 1), "doubled": (16, "<i4", 1), "answer": (20, "<i4", 1), "evaluation": (124, "<f4", 144)},
-    MOVE: {"player": (64, "<i4", 1), "steps": (68, "<i4", 8), "dice": (100, "<i4", 2)},
+    CUBE: {"player": (12, "<i4", 1), "doubled": (16, "<i4", 1), "answer": (20, "<i4", 1), "evaluation": (124, "<f4", 144), "level": (92, "<i4", 1), "equities": (152, "<f4", 3), "error": (200, "<f8", 1), "answer_error": (216, "<f8", 1)},
+    MOVE: {"player": (64, "<i4", 1), "steps": (68, "<i4", 8), "dice": (100, "<i4", 2), "board": (9, "i1", 26), "error": (2312, "<f8", 1), "level": (2472, "<i4", 1)},
     END: {"winner": (24, "<i4", 1), "points": (28, "<i4", 1), "how": (32, "<i4", 1)},
 }
 
@@ -71,6 +71,11 @@ def records(data: bytes) -> np.ndarray:
     return np.frombuffer(max(fit, key=len), dtype=np.uint8).reshape(-1, SIZE)
 
 
+def by_kind(rows: np.ndarray) -> dict[int, np.ndarray]:
+    """The records of each kind, typed."""
+    return {kind: np.frombuffer(rows[rows[:, 8] == kind].tobytes(), dtype=t) for kind, t in TYPES.items()}
+
+
 def _text(field: np.ndarray) -> str:
     raw = field.tobytes()
     return raw[1 : 1 + min(raw[0], 40)].split(b"\0")[0].decode("cp1252", "replace").strip()
@@ -105,7 +110,7 @@ def parse(data: bytes) -> dict:
     """The match of a file, not validated yet."""
     rows = records(data)
     kinds = rows[:, 8]
-    typed = {kind: np.frombuffer(rows[kinds == kind].tobytes(), dtype=t) for kind, t in TYPES.items()}
+    typed = by_kind(rows)
     place = np.zeros(len(rows), int)
     for kind in TYPES:
         place[kinds == kind] = np.arange((kinds == kind).sum())

@@ -147,13 +147,15 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def decisions(files: DataFrame, table: EquityTable | None = None) -> DataFrame:
-    """(path, game, side, kind, error, plies, counted) of every analysed decision in SGF files."""
+    """(path, game, side, kind, error, plies, counted) of every analysed decision in SGF and binary files."""
 
     def rows(path: str, data: bytes) -> list[tuple]:
-        if kind_of(data) != "sgf":
+        kind = kind_of(data)
+        if kind == "mat":
             return []
         try:
-            return [(path, *d.values()) for d in analysis.decisions(decode(data)[0], table)]
+            found = analysis.binary_errors(data) if kind == "xg" else analysis.errors(analysis.judgements(decode(data)[0]), table)
+            return [(path, *d.values()) for d in found.to_dict("records")]
         except (FormatError, ValueError, IndexError, KeyError):
             return []
 

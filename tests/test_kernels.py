@@ -309,3 +309,18 @@ def test_played_points_stay_where_a_site_caps_them():
     assert match["result"]["score"] == [2, 0]
     match, _, found = read_bytes(_plain_game(resigned, "      Wins 4 points", length=9).encode())
     assert match["result"]["score"] == [3, 0] and ("warning", "V-SCORE") in {(d["severity"], d["code"]) for d in found}
+
+
+def test_decisions_of_a_binary_match():
+    from pipworks.kernels.analysis import binary_errors
+
+    name = lambda s: ("41p", s.encode())
+    head = _record(0, _9=name("Ann"), _50=name("Bob"), _92=("<i", 3))
+    play = lambda error, dice, cells: _record(3, _9=("26b", *cells), _64=("<i", 1), _68=("<8i", 7, 4, 5, 4, -1, -1, -1, -1), _100=("<2i", *dice), _2312=("<d", error), _2472=("<i", 1002))
+    start = [0, -2, 0, 0, 0, 0, 5, 0, 3, 0, 0, 0, -5, 5, 0, 0, 0, -3, 0, -5, 0, 0, 0, 0, 2, 0]
+    closed = [0, 15, *[0] * 23, 0]
+    cubes = [_record(2, _12=("<i", 1), _16=("<2i", 0, 0), _92=("<i", 2), _152=("<3f", 0.3, 0.2, 1.0), _200=("<d", 0.0), _216=("<d", -1000)), _record(2, _12=("<i", -1), _16=("<2i", 1, 0), _92=("<i", 2), _152=("<3f", 0.9, 1.1, 1.0), _200=("<d", -0.02), _216=("<d", 0.1)), _record(2, _16=("<i", -2))]
+    got = binary_errors(_binary(head, _record(1), cubes[0], play(-0.05, (3, 1), start), play(-1000, (3, 1), start), play(0.0, (3, 1), closed), cubes[2], cubes[1], _record(4)))
+    assert [tuple(r) for r in got[["game", "side", "kind", "plies", "counted"]].to_numpy().tolist()] == [(1, 0, "no-double", 3, True), (1, 0, "move", 7, True), (1, 0, "move", 7, False), (1, 1, "double", 3, True), (1, 0, "pass", 3, True)]
+    assert got["error"].round(3).tolist() == [0.0, 0.05, 0.0, 0.02, 0.1]
+    assert binary_errors(_binary(head, _record(1), _record(4))).empty
