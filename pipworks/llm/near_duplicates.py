@@ -200,8 +200,6 @@ def transcript_groups(spark: SparkSession, items: DataFrame, key: str = "item_id
 
 # Words at either end of a file name that only mark a copy or version.
 EDGE_MARKS = ["copy", "kopie", "copie", "copia", "fixed", "checked", "corrected", "edited", "revised", "old", "new", "ok", "backup", "bak", "version", "final version", "latest", "duplicate", "dup", "tmp", "temp", "inbox", "final"]
-#: Short forms written without a dot.
-SHORT_FORMS = {"gp": "grand prix", "grandprix": "grand prix", "wt": "winter trophy", "cc": "club championship"}
 
 _MARK = rf"(?:{'|'.join(sorted(EDGE_MARKS, key=len, reverse=True))})(?: \d{{1,2}}\b)?|v(?:er)?(?: ?\d{{1,2}})?"
 _EDGE = re.compile(rf"^(?:{_MARK})(?= )|(?<= )(?:{_MARK})$")
@@ -219,7 +217,6 @@ def name_form(name: str) -> list[list[str]] | None:
     base = re.sub(r"\s+", " ", base).strip()
     while (shorter := _EDGE.sub("", base).strip()) != base:
         base = shorter
-    base = " ".join(SHORT_FORMS.get(w, w) for w in base.split())
     numbers = sorted(re.findall(r"\d+", base))
     words = sorted(re.findall(r"[^\W\d]+\.?", base))
     return [numbers, words] if numbers or words else None
@@ -246,14 +243,32 @@ def _close_words(x: str, y: str) -> bool:
     return least >= 2 and max(len(x), len(y)) >= 3 and edit_distance_at_most(x, y, 2 if least >= 9 else 1)
 
 
+def _without_initials(short: list[str], long: list[str]) -> tuple[list[str], list[str]]:
+    """Both lists without words of two or three letters of the first that are the initials, in any order, of as many words of the other."""
+    kept, others = [], list(long)
+    for word in short:
+        letters = word.rstrip(".")
+        told = []
+        for letter in letters if 2 <= len(letters) <= 3 else "":
+            if (full := next((w for w in others if w[0] == letter and len(w) > 3 and w not in told), None)) is not None:
+                told.append(full)
+        if told and len(told) == len(letters):
+            for full in told:
+                others.remove(full)
+        else:
+            kept.append(word)
+    return kept, others
+
+
 def same_name(a: list[list[str]], b: list[list[str]]) -> bool:
-    """Whether two file names are one: the same numbers, and words that pair up but for typing errors and abbreviations."""
+    """Whether two file names are one: the same numbers, and words that pair up but for typing errors, abbreviations and initials."""
     if list(a[0]) != list(b[0]):
         return False
     left, right = Counter(a[1]), Counter(b[1])
     x, y = sorted((left - right).elements(), key=len, reverse=True), list((right - left).elements())
     if "".join(sorted("".join(a[1]))) == "".join(sorted("".join(b[1]))) and len(x) + len(y) <= 3:
         return True  # words run together or taken apart
+    x, y = _without_initials(*_without_initials(x, y)[::-1])
     if len(x) != len(y) or len(x) > 3:
         return False
     for word in x:
