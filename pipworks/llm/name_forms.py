@@ -25,11 +25,11 @@ GIVEN_NAMES = {
 }
 #: Marks after a name.
 NAME_MARKS = ["jr", "sr", "junior", "senior", "ii", "iii", "gm", "im"]
-#: Words for kinds of events, with other ways of writing them.
-EVENT_KINDS = {
-    "open": "opn", "masters": "mstrs master mast", "cup": "cp", "grand": "gr gd", "prix": "", "winter": "wint wtr", "summer": "", "spring": "", "autumn": "fall", "trophy": "trph trphy tr", "festival": "fest fstvl", "club": "clb", "championship": "champs champ ch champion championships chmp chp",
-    "team": "teams tm", "league": "lge lg", "weekly": "wkly", "monthly": "", "classic": "", "challenge": "", "invitational": "", "memorial": "", "series": "", "marathon": "", "derby": "", "national": "natl", "city": "",
-}
+#: Words for kinds of events, the more usual first, and kinds of two words.
+EVENT_KINDS = (
+    "open masters cup grand prix winter trophy festival club championship team league weekly monthly summer spring autumn classic challenge invitational memorial series marathon derby national city"
+).split()
+EVENT_PAIRS = [("grand", "prix"), ("winter", "trophy"), ("club", "championship"), ("team", "league"), ("weekly", "league")]
 #: Words that say nothing about which event it is.
 EVENT_FILLERS = ["backgammon", "bg", "the", "of", "de", "at", "in", "intl", "international", "int", "annual", "trn", "tournament", "tourn", "tournoi", "turnier", "torneo", "edition"]
 #: Texts that stand where an event is not known.
@@ -41,7 +41,6 @@ _CLASSES: dict[str, tuple[str, ...]] = {}
 for _full, _short in GIVEN_NAMES.items():
     for _name in (_full, *_short.split()):
         _CLASSES[_name] = (*_CLASSES.get(_name, ()), _full)
-_KIND_OF = {w: k for k, others in EVENT_KINDS.items() for w in (k, *others.split())}
 
 
 def fold(text: str) -> str:
@@ -106,35 +105,48 @@ def event_form(event: str) -> str | None:
     short = re.search(r"['’`](\d\d)(?!\d)", text)
     when = year[0] if year else ("19" if int(short[1]) >= 40 else "20") + short[1] if short else ""
     text = re.sub(r"\d+(?:st|nd|rd|th)?\b", " ", text)
-    text = re.sub(r"\bgrandprix\b", "grand prix", re.sub(r"\bgp\b", "grand prix", text))
-    for letter, after, word in (("t", "league", "team"), ("w", "trophy", "winter"), ("g", "prix", "grand"), ("c", "ch", "club"), ("w", "league", "weekly")):
-        text = re.sub(rf"\b{letter}\. ?(?={after})", f"{word} ", text)
     kinds, place, cut = set(), [], False
-    for word, dot in re.findall(r"([^\W\d_]+)(\.?)", text):
-        if word in EVENT_FILLERS:
-            continue
-        kind = _kind(word, dot == ".")
-        if kind:
-            kinds.add(kind)
+    words = [(w, dot == ".") for w, dot in re.findall(r"([^\W\d_]+)(\.?)", text) if w not in EVENT_FILLERS]
+    for k, (word, dot) in enumerate(words):
+        if found := _kinds(word, dot, words[k + 1] if k + 1 < len(words) else None):
+            kinds |= set(found)
         else:
             place.append(word)
-            cut |= dot == "."
+            cut |= dot
     if not place and not kinds:
         return None
     return f"e|{when}|{' '.join(sorted(kinds))}|{''.join(place)}{'.' if cut else ''}"
 
 
+def _kinds(word: str, dotted: bool, following: tuple[str, bool] | None) -> tuple[str, ...]:
+    """The kinds that a word stands for: one, both of a pair run together or given by its initials, or the first of a pair by its initial."""
+    for pair in EVENT_PAIRS:
+        if word == "".join(pair) or not dotted and word == pair[0][0] + pair[1][0]:
+            return pair
+        if dotted and len(word) == 1 and word == pair[0][0] and following and _kind(*following) == pair[1]:
+            return pair[:1]
+    kind = _kind(word, dotted)
+    return (kind,) if kind else ()
+
+
+def _abbreviates(word: str, kind: str) -> bool:
+    """Whether a word has the first letter and further letters of a kind in order; of two letters, none may be a vowel."""
+    letters = iter(kind[1:])
+    enough = len(word) >= 3 and 3 * len(word) >= len(kind) or len(word) == 2 and not set(word) & set("aeiouy")
+    return enough and len(word) < len(kind) and word[0] == kind[0] and all(c in letters for c in word[1:])
+
+
 @lru_cache(maxsize=100_000)
 def _kind(word: str, dotted: bool) -> str | None:
-    if word in _KIND_OF:
-        return _KIND_OF[word]
-    if dotted and len(word) >= 2 and (begun := [k for k in EVENT_KINDS if k.startswith(word)]):
-        return begun[0] if len(begun) == 1 else None
-    if len(word) >= 3 and (near := sorted(k for k in EVENT_KINDS if len(k) >= 3 and edit_distance_at_most(word, k, 2 if min(len(word), len(k)) >= 9 else 1))):
-        return near[0]
-    if len(word) >= 3 and (skeleton := [k for k in EVENT_KINDS if len(k) >= 4 and re.sub("[aeiouy]", "", k) == word]):
-        return skeleton[0]
-    return None
+    """The kind that a word is, is cut from, is a typing error of, or abbreviates; the more usual one where several are possible."""
+    if word in EVENT_KINDS:
+        return word
+    tests = [
+        lambda k: dotted and len(word) >= 2 and k.startswith(word),
+        lambda k: min(len(word), len(k)) >= 3 and edit_distance_at_most(word, k, 2 if min(len(word), len(k)) >= 9 else 1),
+        lambda k: _abbreviates(word, k) or word.endswith("s") and _abbreviates(word[:-1], k),
+    ]
+    return next((k for test in tests for k in EVENT_KINDS if test(k)), None)
 
 
 def _shorter(word: str) -> list[str]:
