@@ -9,7 +9,7 @@ map one byte to one character, or lose characters, it must occur in the corpus m
 Words of all rows are counted; nothing is sampled, and only tables of distinct words are joined. A word with U+FFFD,
 or with signs, controls or capitals where ordinary writing has none, is reported even where no original is found.
 
-Defined cases: null, empty and pure ASCII values without `?` inside a word are not concerned; a value is reported once
+Defined cases: null, empty and pure ASCII values without `?` beside a letter are not concerned; a value is reported once
 however many of its words are garbled; restored is null where some word has no verified original; ties between originals
 go to the more frequent, then to the smaller by code point; rows given twice are reported twice.
 """
@@ -44,6 +44,8 @@ FFFD = "�"
 _SIGNS = set("‘’‚“”„«»‹›–—…¿¡·•§¶©®™°ºª¹²³½¼¾±×÷£€¥¢µ№†")
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _NOT_ASCII = "[^\\x00-\\x7F]"
+#: A question mark where a letter may be lost.
+_ASKED = r"[A-Za-z]\?|\?[A-Za-z]"
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -186,12 +188,15 @@ def values_of(records: DataFrame) -> DataFrame:
     named = records.select("row_id", F.posexplode(F.transform("sides", lambda s: s["name"])).alias("pos", "value")).select("row_id", F.lit("name").alias("field"), "pos", "value")
     event = records.select("row_id", F.lit("event").alias("field"), F.lit(0).alias("pos"), F.col("event").alias("value"))
     remarks = records.select("row_id", F.posexplode("remarks").alias("pos", "value")).select("row_id", F.lit("remarks").alias("field"), "pos", "value")
-    return named.unionByName(event).unionByName(remarks).filter(F.col("value").rlike(_NOT_ASCII) | F.col("value").rlike(r"[A-Za-z]\?[A-Za-z?]"))
+    return named.unionByName(event).unionByName(remarks).filter(F.col("value").rlike(_NOT_ASCII) | F.col("value").rlike(_ASKED))
 
 
 def _words(value: Column) -> Column:
-    stripped = F.transform(F.split(value, "[ \\t\\r\\n]+"), lambda t: F.regexp_replace(t, r"^[\p{Punct}&&\p{ASCII}]+|[\p{Punct}&&\p{ASCII}]+$", ""))
-    return F.array_distinct(F.filter(stripped, lambda w: w.rlike(_NOT_ASCII) | w.rlike(r"[A-Za-z]\?")))
+    """Words of a value without outer ASCII punctuation, and with it where that is a question mark: it may stand for a lost letter."""
+    tokens = F.split(value, "[ \\t\\r\\n]+")
+    stripped = lambda signs: F.transform(tokens, lambda t: F.regexp_replace(t, f"^{signs}+|{signs}+$", ""))
+    each = F.array_union(stripped(r"[\p{Punct}&&\p{ASCII}]"), stripped(r"[\p{Punct}&&\p{ASCII}&&[^?]]"))
+    return F.filter(each, lambda w: w.rlike(_NOT_ASCII) | w.rlike(_ASKED))
 
 
 def garbled_words(spark: SparkSession, words: DataFrame) -> DataFrame:

@@ -283,6 +283,14 @@ def test_garbled_values(spark):
 # Names
 
 
+def test_letters_lost_at_the_edge_of_a_word(spark):
+    events = ["Coupe André", "Coupe Andr?", "Was it André?", "Éclair Cup", "?clair Cup", "Who won the Cup?", "Did Ann win?"]
+    schema = "row_id long, sides array<struct<name:string>>, event string, remarks array<string>"
+    records = spark.createDataFrame([(k, [], e, []) for k, e in enumerate(events)], schema)
+    got = {r.row_id: r.restored for r in mojibake.find(spark, records).collect()}
+    assert got == {1: "Coupe André", 4: "Éclair Cup"}
+
+
 def test_player_forms():
     f = name_forms.player_form
     same = [("Ann-Marie Ash", "Ash, Ann-Marie"), ("Alexander Viburse", "Alex  VIBURSE (D)"), ("Pip Warden", "PipWarden"), ("Isabella G. Tottasbak", "Tottasbak, Izzy"), ("fox_kettle00", "kettlefox00,1407"), ("Gabriel_Binnulpul", "Gabe Binulpul"), ("Hen. Rukžotvàk", "Henny Rukžotvk"), ("Zopinfak William", "Will Zopinfakk jr")]
