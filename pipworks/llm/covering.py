@@ -22,6 +22,8 @@ _ADD = np.random.default_rng(20_012).integers(0, 2**63, WIDTH, dtype=np.uint64)
 MASKS = np.array(list(combinations(range(WIDTH), 2)))
 #: Nodes of a bucket that are paired in one place; larger buckets are cut into blocks and every pair of blocks is made.
 BLOCK = 256
+#: Nodes of a bucket that are put in order in one place.
+RUN = 4096
 _SALT = np.random.default_rng(20_013).integers(0, 2**63, len(MASKS), dtype=np.uint64)
 
 
@@ -60,11 +62,14 @@ def table_links(keys: DataFrame, node: str = "node", key: str = "key") -> DataFr
 
     Every node of a bucket is linked to the bucket's least node and to the one before it: for up to three nodes these are
     all pairs, beyond that at most twice as many links as nodes, so a large bucket never multiplies. Nodes that belong
-    together share many tables, each with other neighbours. What these links leave open is for `table_pairs`.
+    together share many tables, each with other neighbours. What these links leave open is for `table_pairs`. A bucket
+    of more than RUN nodes is put in order in runs of about that size, so a hot key is no task of its own.
     """
-    order = Window.partitionBy(key).orderBy(node)
-    seen = keys.select(node, F.lag(node).over(order).alias("before"), F.min(node).over(Window.partitionBy(key)).alias("least")).filter("before is not null")
-    return seen.select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col(node).alias("b")).filter("a <> b").distinct()
+    size = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(node).alias("least")).filter("n > 1")
+    run = F.pmod(F.xxhash64(node), F.ceil(F.col("n") / RUN)).alias("run")
+    placed = keys.select(node, key).join(size, key).select(node, key, "least", run).repartition(key, "run")
+    seen = placed.select(node, "least", F.lag(node).over(Window.partitionBy(key, "run").orderBy(node)).alias("before"))
+    return seen.select(F.explode(F.array_distinct(F.array("least", F.coalesce("before", "least")))).alias("a"), F.col(node).alias("b")).filter("a <> b").distinct()
 
 
 def table_pairs(keys: DataFrame, ratio: float = 0.0) -> DataFrame:
@@ -74,8 +79,8 @@ def table_pairs(keys: DataFrame, ratio: float = 0.0) -> DataFrame:
     A bucket of more than BLOCK nodes is cut into blocks; each pair of blocks meets under a key of its own, so a hot
     bucket is spread over many tasks.
     """
-    bucket = Window.partitionBy("key")
-    mixed = keys.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).filter("low <> high")
+    bucket = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    mixed = keys.join(bucket.select("key", "n"), "key")
     blocks = F.ceil(F.col("n") / BLOCK)
     own = mixed.select("node", "key", "group", "size", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("own"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

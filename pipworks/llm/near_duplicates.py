@@ -243,21 +243,9 @@ def _close_words(x: str, y: str) -> bool:
     return least >= 2 and max(len(x), len(y)) >= 3 and edit_distance_at_most(x, y, 2 if least >= 9 else 1)
 
 
-def _without_initials(short: list[str], long: list[str]) -> tuple[list[str], list[str]]:
-    """Both lists without words of two or three letters of the first that are the initials, in any order, of as many words of the other."""
-    kept, others = [], list(long)
-    for word in short:
-        letters = word.rstrip(".")
-        told = []
-        for letter in letters if 2 <= len(letters) <= 3 else "":
-            if (full := next((w for w in others if w[0] == letter and len(w) > 3 and w not in told), None)) is not None:
-                told.append(full)
-        if told and len(told) == len(letters):
-            for full in told:
-                others.remove(full)
-        else:
-            kept.append(word)
-    return kept, others
+def _initials(words: list[str], others: list[str]) -> bool:
+    """Whether `words`, of two or three letters without a dot, are the initials of `others`, in any order, one letter for each."""
+    return bool(words) and all(2 <= len(w) <= 3 and w.isalpha() for w in words) and sorted("".join(words)) == sorted(w[0] for w in others)
 
 
 def same_name(a: list[list[str]], b: list[list[str]]) -> bool:
@@ -268,15 +256,18 @@ def same_name(a: list[list[str]], b: list[list[str]]) -> bool:
     x, y = sorted((left - right).elements(), key=len, reverse=True), list((right - left).elements())
     if "".join(sorted("".join(a[1]))) == "".join(sorted("".join(b[1]))) and len(x) + len(y) <= 3:
         return True  # words run together or taken apart
-    x, y = _without_initials(*_without_initials(x, y)[::-1])
-    if len(x) != len(y) or len(x) > 3:
+    if max(len(x), len(y)) > 4:
         return False
+    left_over = []
     for word in x:
         partner = next((w for w in y if _close_words(word, w)), None)
         if partner is None:
-            return False
-        y.remove(partner)
-    return True
+            left_over.append(word)
+        else:
+            y.remove(partner)
+    if not left_over and not y:
+        return len(x) <= 3
+    return _initials(left_over, y) or _initials(y, left_over)
 
 
 def file_name_groups(spark: SparkSession, rows: DataFrame, key: str = "row_id", name: str = "file") -> DataFrame:
