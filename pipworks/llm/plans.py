@@ -15,6 +15,11 @@ def p1_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return spectral.ranking(spark, table(spark, folder, "match_catalog"))
 
 
+def p1_tallies(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ranking counts for every name: decided matches and those won."""
+    return p1_ranking(spark, folder).select("name", "matches", F.col("won").cast("long").alias("won"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of inbox_items with the same match in `moves`, and of meta_review with the same name in `file`."""
     moves = near_duplicates.transcript_groups(spark, table(spark, folder, "inbox_items"))
@@ -50,6 +55,11 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(spark, table(spark, folder, "documents"), table(spark, folder, "capacities"))
 
 
+def p8_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that containers of each size hold: every one with a text."""
+    return p8_packed(spark, folder).select("container", "doc_id").distinct()
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The documents used to reach the shares of mix_targets, with their repeats."""
     return mixing.mixture(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
@@ -66,6 +76,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.flagged(spark, table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_ranking, p2_found, p3_found, p5_found, p5_restored, p7_found, p8_packed, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_ranking, p1_tallies, p2_found, p3_found, p5_found, p5_restored, p7_found, p8_packed, p8_covered, p9_mixture, p9_shares, p10_found)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p1_tallies": """WITH d AS (SELECT coalesce(id, 'row ' || row_id) AS k, p0, p1, win, row_id FROM match_catalog WHERE win IN (0, 1) AND p0 IS NOT NULL AND p1 IS NOT NULL AND p0 <> p1),
+      m AS (SELECT arg_min(struct_pack(a := p0, b := p1, win := win), row_id) AS x FROM d GROUP BY k), e AS (SELECT x.a AS name, x.win = 0 AS w FROM m UNION ALL SELECT x.b, x.win = 1 FROM m),
+      t AS (SELECT name, count(*) AS matches, count(*) FILTER (w) AS won FROM e GROUP BY 1)
+      SELECT name, coalesce(matches, 0) AS matches, coalesce(won, 0) AS won FROM (SELECT p0 AS name FROM match_catalog UNION SELECT p1 FROM match_catalog) LEFT JOIN t USING (name) WHERE name IS NOT NULL""",
+    "p8_covered": "SELECT container, doc_id FROM documents, capacities WHERE text IS NOT NULL AND capacity_tokens > 0",
+}
