@@ -74,11 +74,12 @@ def bloom_might_contain(df: DataFrame, column: str, bloom: Bloom | None) -> Data
     """The rows of `df` whose value may be in the filter: all that are, and few that are not."""
     if bloom is None:
         return df
-    field = df.sparkSession.sparkContext.broadcast(np.unpackbits(np.frombuffer(bloom.data, dtype=np.uint8)).astype(bool))
+    field = df.sparkSession.sparkContext.broadcast(np.frombuffer(bloom.data, dtype=np.uint8))
     bits = bloom.bits
 
     @F.pandas_udf("boolean")
     def contained(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(field.value[_positions(h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64), bits)].all(axis=1))
+        at = _positions(h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64), bits)
+        return pd.Series((field.value[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).all(axis=1))
 
     return df.filter(F.col(column).isNotNull() & contained(F.xxhash64(column), F.xxhash64(F.lit(1), column)))
