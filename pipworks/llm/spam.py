@@ -50,16 +50,20 @@ def units(documents: DataFrame) -> DataFrame:
     """Every unit of `documents` (doc_id, text, author): the columns of _UNITS."""
     host = F.when(F.col("author").isNull(), F.xxhash64(F.lit("own"), "doc_id")).otherwise(F.xxhash64("author"))
     parts = F.split("text", r"\R|(?<=[.!?])\s+")
-    each = documents.filter("text is not null").select("doc_id", host.alias("host"), F.xxhash64("text").alias("text"), F.posexplode(parts).alias("at", "u"))
-    each = each.filter(F.trim("u") != "").withColumn("signs", F.translate(F.col("u"), "[<#", "\u0001\u0001\u0001").contains("\u0001") | F.contains("u", F.lit("://")) | F.contains("u", F.lit("www.")))
+    # hashed before they are split, so that no unit carries the whole text
+    hashed = documents.filter("text is not null").select("doc_id", host.alias("host"), F.xxhash64("text").alias("key"), "text")
+    each = hashed.select("doc_id", "host", F.col("key").alias("text"), F.posexplode(parts).alias("at", "u"))
+    has = lambda sign: F.contains("u", F.lit(sign))
+    count = lambda sign: (F.length("u") - F.length(F.replace("u", F.lit(sign), F.lit("")))) / len(sign)
+    each = each.filter(F.trim("u") != "").withColumn("signs", has("[") | has("<") | has("#") | has("://") | has("www."))
     linked = lambda e, plain: F.when(F.col("signs"), e).otherwise(plain)
     bare = F.lower(linked(F.regexp_replace("u", _MARKUP, " "), F.col("u")))
     words = F.array_remove(F.split(bare, r"[^\p{L}\p{M}']+"), "")
     url_chars = linked(F.length("u") - F.length(F.regexp_replace("u", _URL, "")), F.lit(0))
     each = each.select("doc_id", "host", "text", "at", "u", F.length("u").alias("chars"), url_chars.alias("url_chars"), linked(F.regexp_count("u", F.lit(_URL)), F.lit(0)).alias("links"), words.alias("words"))
-    n, pieces = F.size("words"), 1 + F.length("u") - F.length(F.translate("u", ",|;", "")) + (F.length("u") - F.length(F.replace("u", F.lit("->"), F.lit("")))) / 2
+    n, pieces = F.size("words"), 1 + count(",") + count("|") + count(";") + count("->")
     short_line = n.between(1, 5) & ~F.col("u").rlike(r"[0-9:]|[.!?]$")
-    marked = F.contains("u", F.lit("|")) | F.contains("u", F.lit("->")) | F.contains("u", F.lit("[url")) | (F.contains("u", F.lit("<a")) & F.col("u").rlike(r"<a\b"))
+    marked = has("|") | has("->") | has("[url") | (has("<a") & F.col("u").rlike(r"<a\b"))
     dense = (2 * F.col("url_chars") > F.col("chars")) | marked | ((pieces >= 5) & (n <= 3.5 * pieces)) | short_line
     return each.select("doc_id", "host", "text", "at", "chars", "url_chars", "links", dense.alias("dense"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
