@@ -40,6 +40,8 @@ class _Game:
         if a["hidden"]:
             if not last:
                 self.say("error", "V-DAMAGED", "a hidden play inside a game", k)
+            elif dice != (0, 0) and (self.game["declared"] or {}).get("winner") == side:
+                self.bear_off(k, a)
             return
         if a.get("dump") and not self.dumped(k, a):
             return
@@ -104,6 +106,17 @@ class _Game:
             self.say("error", "V-DAMAGED", f"the dumped position {problem}", k)
         return problem is None
 
+    def bear_off(self, k: int, a: dict) -> None:
+        """Reads a hidden last play of the stated winner as the bear-off of all checkers left, if the roll allows it."""
+        side = a["side"]
+        plays, _ = R.legal_plays(self.position, side, tuple(a["dice"]))
+        finish = next((p for p in plays if p[side][R.OFF] == R.CHECKERS), None)
+        steps = R.steps_between(self.position, finish, side) if finish else None
+        if steps:
+            a.update(hidden=False, reconstructed=True, steps=steps, position=finish, played=R.apply_written(self.position, side, steps)[1])
+            self.position, self.end = finish, (side, "bearOff")
+            self.say("info", "V-RESULT", "the last play is not written: the roll bears off every checker left", k)
+
     def double(self, k: int, a: dict) -> None:
         side = a["side"]
         if self.offered is not None:

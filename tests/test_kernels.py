@@ -324,3 +324,24 @@ def test_decisions_of_a_binary_match():
     assert [tuple(r) for r in got[["game", "side", "kind", "plies", "counted"]].to_numpy().tolist()] == [(1, 0, "no-double", 3, True), (1, 0, "move", 7, True), (1, 0, "move", 7, False), (1, 1, "double", 3, True), (1, 0, "pass", 3, True)]
     assert got["error"].round(3).tolist() == [0.0, 0.05, 0.0, 0.02, 0.1]
     assert binary_errors(_binary(head, _record(1), _record(4))).empty
+
+
+def test_a_hidden_last_play_that_bears_off_all_checkers():
+    from pipworks.kernels import rules
+    from pipworks.kernels.validate import _Game
+
+    def ended(dice, winner):
+        left = [0] * 26
+        left[3], left[1], left[rules.OFF] = 1, 1, 13
+        other = [0] * 26
+        other[2], other[rules.OFF] = 2, 13
+        play = {"side": 0, "kind": "move", "dice": dice, "steps": [], "hidden": True, "line": 3}
+        game = {"actions": [play], "declared": {"winner": winner, "points": 1, "ends_match": False, "line": 4}, "start": [0, 0]}
+        state = _Game({"match_length": 5, "rules": {}, "sides": [{"name": "a"}, {"name": "b"}]}, game, 0, False, [])
+        state.position = (tuple(left), tuple(other))
+        state.run()
+        return state.result([0, 0], None), play
+
+    result, play = ended([4, 4], 0)
+    assert (result["winner"], result["points"], result["how"]) == (0, 1, "bearOff") and play["reconstructed"] and sorted(play["steps"]) == [(1, 0), (3, 0)]
+    assert ended([2, 1], 0)[0]["how"] == "resign" and ended([4, 4], 1)[0] == {"winner": 1, "points": 1, "kind": "single", "how": "resign", "cube": 1}
