@@ -7,6 +7,7 @@ until results are grouped. A file that can't be read gives a row with an error,
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -14,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipworks.functions.pseudonyms import hide_names
 from pipworks.kernels import analysis, sgf, xg
 from pipworks.kernels.analysis import EquityTable
 from pipworks.kernels.file_names import propose
 from pipworks.kernels.identity import content_hash, roll_tokens
 from pipworks.kernels.ids import Context, to_gnubg_id, to_xgid
-from pipworks.kernels.match_text import FormatError, decode, kind_of, parse, write
+from pipworks.kernels.match_text import FormatError, decode, kind_of, parse, steps_text, write
 from pipworks.kernels.sequences import shared_rolls
 from pipworks.kernels.validate import diagnostic, salvage, validate
 
@@ -128,6 +130,58 @@ def scan(files: DataFrame) -> DataFrame:
     return _run(files, schema, rows)
 
 
+def as_json(match: dict) -> str:
+    """A match as JSON: people, length, rules, date, event, and every game with its start score, actions in order, and what the file says of its result."""
+
+    def action(a: dict) -> dict:
+        out = {"side": a["side"], "kind": a["kind"]}
+        if a["kind"] == "move":
+            out |= {"dice": a["dice"], "moves": None if a.get("hidden") else steps_text(a.get("played") or a["steps"])}
+        return out | ({"cube": a["cube"]} if a["kind"] == "double" else {})
+
+    def result(g: dict) -> dict | None:
+        found = g.get("result") or g["declared"]
+        return found and {k: found[k] for k in ("winner", "points", "kind", "how", "cube") if k in found}
+
+    games = [{"index": g["index"], "startScore": g["start"], "actions": [action(a) for a in g["actions"]], "result": result(g)} for g in match["games"]]
+    head = {"sides": match["sides"], "matchLength": match["match_length"], "rules": match["rules"], **{k: match[k] for k in ("date", "time", "event", "round")}}
+    return json.dumps(head | {"games": games, "remarks": match["remarks"]}, ensure_ascii=False)
+
+
+def json_texts(files: DataFrame) -> DataFrame:
+    """(path, json) of every file that can be parsed, not validated."""
+
+    def rows(path: str, data: bytes) -> list[tuple]:
+        kind = kind_of(data)
+        try:
+            return [(path, as_json(parsed(data, kind, "" if kind == "xg" else decode(data)[0])))]
+        except (FormatError, ValueError, KeyError, IndexError):
+            return []
+
+    return _run(files, "path string, json string", rows)
+
+
+def hidden_texts(files: DataFrame, key: bytes, domain: str) -> DataFrame:
+    """(path, text): every file that can be parsed, in the normal layout, with pseudonyms in place of names and without what points to the people or the place: event, round, site, time, ratings and remarks. Plays and date stay.
+
+    Pseudonyms are made once per distinct name and joined back; a path given twice must be one file.
+    """
+    names = hide_names(scan(files).select("path", "p0", "p1"), key, ["p0", "p1"], [], domain)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content, *new in zip(b["path"], b["content"], b["p0"], b["p1"], strict=True):
+                data = content.encode() if isinstance(content, str) else bytes(content)
+                kind = kind_of(data)
+                match = parsed(data, kind, "" if kind == "xg" else decode(data)[0])
+                match |= {"sides": [{"name": n, "rating": None} for n in new], "event": None, "round": None, "site": None, "time": None, "remarks": []}
+                out.append((path, write(match)))
+            yield pd.DataFrame(out, columns=["path", "text"])
+
+    return files.select("path", "content").join(names, "path").mapInPandas(run, "path string, text string")
+
+
 def written(files: DataFrame) -> DataFrame:
     """(path, text) of every file that can be parsed, in the normal layout, whether its plays are legal or not."""
 

@@ -10,7 +10,7 @@ from pipworks.functions.text import length_text, moves_fingerprint, normalise, t
 from pipworks.operators import enrichment, reconcile, review, transcripts
 from pipworks.operators.catalog import latest_by, shard_of
 from pipworks.operators.catalog import shard_problems as catalog_shard_problems
-from pipworks.plans.catalog import _DISPLAY, _NORM, _SHARD, _SIDES
+from pipworks.plans.catalog import _DISPLAY, _INNER, _NORM, _OUTER, _SHARD, _SIDES, KEY
 from pipworks.plans.transcripts import _SCAN, _files
 from pipworks.sources.reject_loader import SHEET_COLUMNS
 from pipworks.sources.tables import table
@@ -154,9 +154,25 @@ def shown_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", length_text(F.col("len")).alias("length"), time_label(F.col("s")).alias("label"), video_seconds(spoken).alias("seconds"))
 
 
+def names_hidden(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every .mat file when its names are hidden: the last digits of both pseudonyms, length, and rolls."""
+    hidden = transcripts.scan(transcripts.hidden_texts(_files(spark, folder), KEY, "name:").withColumnRenamed("text", "content"))
+    code = lambda c: F.regexp_extract(c, "^[a-z]+-[a-z]+-([0-9a-f]{4})$", 1)
+    return hidden.select("path", code("p0").alias("code0"), code("p1").alias("code1"), "match_length", "date", "event", "rolls")
+
+
+def match_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Every .mat file as JSON, read back by its schema: names, length, games, plays of each game, and stated points."""
+    schema = "sides array<struct<name:string>>, matchLength int, date string, games array<struct<startScore:array<int>,actions:array<struct<kind:string,dice:array<int>>>,result:struct<points:int>>>"
+    back = transcripts.json_texts(_files(spark, folder)).select("path", F.from_json("json", schema).alias("j"))
+    plays = F.transform("j.games", lambda g: F.size(F.filter(g["actions"], lambda a: a["kind"] == "move")))
+    points = F.transform("j.games", lambda g: F.coalesce(g["result"]["points"], F.lit(0)))
+    return back.select("path", F.col("j.sides")[0]["name"].alias("p0"), F.col("j.sides")[1]["name"].alias("p1"), F.col("j.matchLength").alias("match_length"), "j.date", F.aggregate(plays, F.lit(0), lambda x, y: x + y).alias("plays"), points.alias("points"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (moves_fingerprints, shard_problems, shown_texts, enrichments_merged, catalog_enriched, enrichment_additions, transcript_copies, catalog_dictionaries, catalog_columns, catalog_decoded, player_filters, published_flags, listings_loaded, site_events, review_plan, review_plan_named, review_sheet, score_ledger)
+    for f in (match_json, names_hidden, moves_fingerprints, shard_problems, shown_texts, enrichments_merged, catalog_enriched, enrichment_additions, transcript_copies, catalog_dictionaries, catalog_columns, catalog_decoded, player_filters, published_flags, listings_loaded, site_events, review_plan, review_plan_named, review_sheet, score_ledger)
 }
 
 _LATEST = f"""WITH latest AS (SELECT *, {_SHARD} AS shard FROM match_catalog QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1),
@@ -165,6 +181,7 @@ _LATEST = f"""WITH latest AS (SELECT *, {_SHARD} AS shard FROM match_catalog QUA
    UNION ALL SELECT shard, 'rounds', n * 2, round FROM ordered UNION ALL SELECT shard, 'contributors', n * 2, "by" FROM ordered),
  codes AS (SELECT shard, dictionary, value, row_number() OVER (PARTITION BY shard, dictionary ORDER BY place) - 1 AS code FROM (SELECT shard, dictionary, value, min(place) AS place FROM cells WHERE value <> '' GROUP BY ALL))
 """
+_CODE4 = f"substr(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode('name:' || {_NORM.format('{0}')})))), 5, 4)"
 _CODE = "coalesce((SELECT code FROM codes c WHERE c.shard = o.shard AND c.dictionary = '{}' AND c.value = o.{}), -1) AS \"{}\""
 _FNV = "list_reduce(list_prepend({}::UBIGINT, list_transform(string_split(norm, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
 _SITE = "(?:" + "|".join(review.SERVERS) + ")"
@@ -212,6 +229,8 @@ ORACLE = {
       SELECT id, ['crawl'] AS tags, coalesce(urls, []) AS urls FROM a LEFT JOIN u USING (id)""",
     "transcript_copies": _SCAN
     + f"""SELECT path, members FROM (SELECT path, count(*) OVER (PARTITION BY list_sort([coalesce({_NORM.format("p0")}, ''), coalesce({_NORM.format("p1")}, '')]), match_length, rolls) AS members FROM scan) WHERE members > 1""",
+    "names_hidden": _SCAN + f"SELECT path, {_CODE4.format('p0')} AS code0, {_CODE4.format('p1')} AS code1, match_length, date, cast(NULL AS VARCHAR) AS event, rolls FROM scan",
+    "match_json": _SCAN + "SELECT path, p0, p1, match_length, date, len(string_split(rolls, ' '))::INT AS plays, points FROM scan",
     "moves_fingerprints": """SELECT concat_ws('#', file_no::VARCHAR, path) AS path, sha256(array_to_string(list_filter(list_transform(string_split(replace(content, chr(13), ''), chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))),
       lambda l: l <> '' AND NOT starts_with(l, ';') AND NOT regexp_full_match(l, '\\[[^\\]]*\\]')), chr(10))) AS fingerprint FROM match_files WHERE ext = 'mat' AND content IS NOT NULL""",
     "shard_problems": """WITH f AS (SELECT * FROM match_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_no DESC) = 1), j AS (SELECT *, CASE WHEN ext = 'meta.json' AND json_valid(content) THEN content END AS js FROM f),

@@ -1,6 +1,8 @@
+import json
+
 from pyspark.sql import functions as F
 
-from pipworks.operators import publishing, review
+from pipworks.operators import catalog, publishing, review, transcripts
 from pipworks.sources.reject_loader import SHEET_COLUMNS, load_lines
 
 ITEMS = "item_id long, file string, players array<string>, match_length int, date string, time string, event string, round string, moves string, key string"
@@ -93,3 +95,30 @@ def test_flags_of_missing_parts(spark):
 def test_first_listing_wins(spark):
     rows = spark.createDataFrame([(1, "b", 2), (2, "a", 1), (3, "b", 1), (4, "b", 1)], "row_id long, shard string, source int")
     assert {r.row_id for r in publishing.first_listings(rows, "source", "shard").collect()} == {2, 3, 4}
+
+
+def test_names_are_hidden_and_plays_stay(spark):
+    text = '; [Event "Cup"]\n; [EventDate "2020.01.02"]\n; [Remark "Ann was late"]\n3 point match\n\n Game 1\n Ann, 1800 : 0                 Bob : 0\n  1) 31: 8/5 6/5                64: 24/14\n'
+    files = spark.createDataFrame([("a", text), ("b", "no match"), ("c", None)], "path string, content string")
+    hidden = {r.path: r.text for r in transcripts.hidden_texts(files, b"k" * 32, "d:").collect()}
+    assert set(hidden) == {"a"} and not any(w in hidden["a"] for w in ("Ann", "Bob", "Cup", "1800", "late"))
+    assert "31: 8/5 6/5" in hidden["a"] and "2020.01.02" in hidden["a"]
+    assert transcripts.hidden_texts(files.limit(0), b"k" * 32, "d:").count() == 0
+    got = json.loads(transcripts.json_texts(files).first().json)
+    assert [s["name"] for s in got["sides"]] == ["Ann", "Bob"] and got["games"][0]["actions"][0] == {"side": 0, "kind": "move", "dice": [3, 1], "moves": "8/5 6/5"} and got["games"][0]["result"] is None
+
+
+def test_stored_matches_that_do_not_hold_together(spark):
+    meta = lambda s, h: json.dumps({"id": f"{s}/{h}", "contentHash": h + "00"})
+    rows = [("1", "aa", "mat", "x"), ("1", "aa", "meta.json", meta("1", "aa")), ("1", "bb", "mat", ""), ("1", "bb", "meta.json", "{"), ("1", "cc", "meta.json", meta("2", "dd")), ("1", "ee", "mat", None)]
+    files = spark.createDataFrame(rows, "shard string, hash string, ext string, content string")
+    got = {(r.hash, r.problem) for r in catalog.shard_problems(files).collect()}
+    assert got == {("bb", "empty"), ("bb", "unreadable"), ("cc", "no_mat"), ("cc", "hash"), ("cc", "id"), ("ee", "no_meta"), ("ee", "no_mat")}
+    assert catalog.shard_problems(files.limit(0)).count() == 0
+
+
+def test_shards_are_filled_in_order_within_sources(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 5 else "cold") for k in range(100)], "row_id long, source_key string")
+    got = {r.row_id: (r.source_key, r.shard_no) for r in catalog.filled_shards(spark, rows, ["row_id"], 30).collect()}
+    hot = [k for k in range(100) if k % 5]
+    assert all(got[k] == ("hot", n // 30) for n, k in enumerate(hot)) and all(got[k] == ("cold", 0) for k in range(0, 100, 5))
