@@ -125,19 +125,21 @@ def evolve(sizes: list[int], capacity: int, population: list[Groups], rng: np.ra
             chosen = set(some)
             population.append(best_fit(sizes, capacity, [i for i in items if i not in chosen], start))
     least = max(1, -(-sum(sizes) // capacity))
-    ranked = sorted(population, key=lambda g: -fitness(sizes, capacity, g))
-    best, waited = fitness(sizes, capacity, ranked[0]), 0
+    by_fitness = lambda scored: sorted(scored, key=lambda s: -s[0])
+    ranked = by_fitness([(fitness(sizes, capacity, g), g) for g in population])
+    best, waited = ranked[0][0], 0
     for _ in range(generations):
-        if len(ranked[0]) <= least or waited >= PATIENCE:  # no solution has fewer groups, or none better was found for long
+        if len(ranked[0][1]) <= least or waited >= PATIENCE:  # no solution has fewer groups, or none better was found for long
             break
         for _ in range(OFFSPRING):
             a, b = sorted(rng.choice(len(ranked), size=2, replace=len(ranked) < 2).tolist())
-            child = crossover(sizes, capacity, ranked[b], ranked[a], rng)
-            ranked.append(mutate(sizes, capacity, child, rng) if rng.random() < 0.5 else child)
-        ranked = sorted(ranked, key=lambda g: -fitness(sizes, capacity, g))[:POPULATION]
-        now = fitness(sizes, capacity, ranked[0])
+            child = crossover(sizes, capacity, ranked[b][1], ranked[a][1], rng)
+            child = mutate(sizes, capacity, child, rng) if rng.random() < 0.5 else child
+            ranked.append((fitness(sizes, capacity, child), child))
+        ranked = by_fitness(ranked)[:POPULATION]
+        now = ranked[0][0]
         best, waited = max(best, now), 0 if now > best + 1e-12 else waited + 1
-    return ranked
+    return [g for _, g in ranked]
 
 
 def _encode(groups: Groups, n: int) -> list[int]:
