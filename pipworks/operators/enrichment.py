@@ -9,7 +9,7 @@ from pipworks.functions.query import FLAGS
 
 LINKS = "array<struct<url:string,game:int,title:string>>"
 ATTACHMENTS = "array<struct<kind:string,bytes:long,sha256:string>>"
-SCHEMA = f"id string, ord int, links {LINKS}, tags array<string>, attachments {ATTACHMENTS}, meta map<string,string>"
+SCHEMA = f"id string, ord long, links {LINKS}, tags array<string>, attachments {ATTACHMENTS}, meta map<string,string>"
 #: Reasons for an erasure (fixed values).
 REASONS = ["player-request", "contributor-withdrawal", "rights", "legal"]
 

@@ -103,7 +103,7 @@ def score_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def _enrichments(spark: SparkSession, folder: str) -> DataFrame:
     """What documents bring to the matches they are about: the first link of each, and its source as a tag."""
     url = F.nullif(F.regexp_extract("text", "https?://[^ \\t\\r\\n]+", 0), F.lit(""))
-    docs = table(spark, folder, "documents").filter("match_id is not null").select(F.col("match_id").alias("id"), F.col("doc_id").cast("int").alias("ord"), url.alias("url"), "source")
+    docs = table(spark, folder, "documents").filter("match_id is not null").select(F.col("match_id").alias("id"), F.col("doc_id").alias("ord"), url.alias("url"), "source")
     link = F.struct(F.col("url"), F.lit(None).cast("int").alias("game"), F.lit(None).cast("string").alias("title"))
     none = lambda kind: F.array().cast(kind)
     links = F.when(F.col("url").isNotNull(), F.array(link)).otherwise(none(enrichment.LINKS))

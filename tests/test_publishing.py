@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from pipworks.operators import catalog, publishing, review, transcripts
+from pipworks.plans import publishing as plans
 from pipworks.sources.reject_loader import SHEET_COLUMNS, load_lines
 
 ITEMS = "item_id long, file string, players array<string>, match_length int, date string, time string, event string, round string, moves string, key string"
@@ -122,3 +123,18 @@ def test_shards_are_filled_in_order_within_sources(spark):
     got = {r.row_id: (r.source_key, r.shard_no) for r in catalog.filled_shards(spark, rows, ["row_id"], 30).collect()}
     hot = [k for k in range(100) if k % 5]
     assert all(got[k] == ("hot", n // 30) for n, k in enumerate(hot)) and all(got[k] == ("cold", 0) for k in range(0, 100, 5))
+
+
+def _documents(spark, folder):
+    """Documents whose keys are beyond 32 bits, where 2**31 + 5 would come first and 2**33 second if only those were kept."""
+    rows = [(2**33, "https://b.example/1 x", "crawl", "0001/a"), (3, "see http://a.example/2", "forum", "0001/a"), (2**31 + 5, "http://a.example/2 again", "crawl", "0001/a"), (2**40, None, None, "0001/b"), (2**40 + 1, "https://c.example", "crawl", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, match_id string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_catalog_is_enriched_from_documents_with_large_keys(spark, tmp_path):
+    folder = _documents(spark, tmp_path)
+    rows = [(2**40, "0001/a", 1, "Cup"), (2**40 + 1, "0001/b", None, None), (1, "0001/c", 2, "Open")]
+    spark.createDataFrame(rows, "row_id long, id string, flags int, event string").write.parquet(f"{folder}/match_catalog.parquet")
+    got = {(r.row_id, r.id, r.flags, r.event) for r in plans.catalog_enriched(spark, folder).collect()}
+    assert got == {(2**40, "0001/a", 33, "Cup"), (2**40 + 1, "0001/b", 0, None), (1, "0001/c", 2, "Open")}
