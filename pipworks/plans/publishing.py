@@ -123,7 +123,7 @@ def catalog_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 def enrichment_additions(spark: SparkSession, folder: str) -> DataFrame:
     """Tags and links that crawled documents bring beyond those of the others."""
-    every = _enrichments(spark, folder).withColumn("crawled", F.coalesce(F.col("tags")[0] == "crawl", F.lit(False)))
+    every = _enrichments(spark, folder).withColumn("crawled", F.array_contains("tags", "crawl"))
     have, add = (enrichment.merged(every.filter(test).drop("crawled")) for test in ("not crawled", "crawled"))
     return enrichment.additions(have, add).select("id", "tags", F.transform("links", lambda x: x["url"]).alias("urls"))
 

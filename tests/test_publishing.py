@@ -138,3 +138,8 @@ def test_catalog_is_enriched_from_documents_with_large_keys(spark, tmp_path):
     spark.createDataFrame(rows, "row_id long, id string, flags int, event string").write.parquet(f"{folder}/match_catalog.parquet")
     got = {(r.row_id, r.id, r.flags, r.event) for r in plans.catalog_enriched(spark, folder).collect()}
     assert got == {(2**40, "0001/a", 33, "Cup"), (2**40 + 1, "0001/b", 0, None), (1, "0001/c", 2, "Open")}
+
+
+def test_additions_from_documents_with_large_keys(spark, tmp_path):
+    got = [(r.id, r.tags, r.urls) for r in plans.enrichment_additions(spark, _documents(spark, tmp_path)).collect()]
+    assert got == [("0001/a", ["crawl"], ["https://b.example/1"])]
