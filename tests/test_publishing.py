@@ -143,3 +143,8 @@ def test_catalog_is_enriched_from_documents_with_large_keys(spark, tmp_path):
 def test_additions_from_documents_with_large_keys(spark, tmp_path):
     got = [(r.id, r.tags, r.urls) for r in plans.enrichment_additions(spark, _documents(spark, tmp_path)).collect()]
     assert got == [("0001/a", ["crawl"], ["https://b.example/1"])]
+
+
+def test_enrichments_of_documents_with_large_keys_are_merged(spark, tmp_path):
+    got = {r.id: (r.tags, r.urls) for r in plans.enrichments_merged(spark, _documents(spark, tmp_path)).collect()}
+    assert got == {"0001/a": (["forum", "crawl"], ["http://a.example/2", "https://b.example/1"]), "0001/b": ([], [])}
